@@ -1,0 +1,8 @@
+"""Operators for building training corpora; nothing outside this folder imports them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this repository on their path: its functions are sent with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
