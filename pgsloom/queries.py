@@ -1,0 +1,4 @@
+"""The queries of the engine and the SQL that each must equal."""
+
+QUERIES = {}
+SQL = {}
