@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pgsloom.llm import exact_dedup, mixing, simhash, substring_dedup
+from pgsloom.llm import decontam, exact_dedup, html_text, licences, mixing, quality, secrets, simhash, substring_dedup, tokens
 
 QUERIES = {
+    "op1_token_counts": tokens.query,
     "op2_substring_dedup": substring_dedup.query,
+    "op3_quality": quality.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_secrets": secrets.query,
+    "op6_html_text": html_text.query,
+    "op7_decontamination": decontam.query,
     "op8_simhash": simhash.query,
+    "op9_licences": licences.query,
     "op10_mixing": mixing.query,
 }
 SQL = {"op4_exact_dedup": exact_dedup.SQL}

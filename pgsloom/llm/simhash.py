@@ -118,3 +118,17 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each group of near duplicates (the smallest doc_id), columns as they are.
+
+    Groups are the components of fingerprints over word shingles. A null doc_id stays only where a group has no other;
+    of rows that repeat a doc_id one stays.
+    """
+    columns = docs.columns
+    classes = simhash_components(docs, shingle, distance)
+    # one row of each component: the document that names it (or has no name at all)
+    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in columns])
