@@ -68,16 +68,16 @@ def _by_segment(form: str) -> Column:
     return F.expr(f"case {' '.join(cases)} end")
 
 
-def keys(fps: DataFrame, pieces: bool) -> DataFrame:
-    """(key, fp): 64 keys a fingerprint, and each with one of five pieces of the other bits if ``pieces``."""
+def keys(fps: DataFrame, pieces: bool, keep: str = "fp") -> DataFrame:
+    """(key, ``keep``): 64 keys a fingerprint, and each with one of five pieces of the other bits if ``pieces``."""
     out = fps.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63))))
     out = out.withColumn("key", F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(_by_segment("shiftrightunsigned(fp & {mask} & ~shiftleft(1L, bit), {low})")))
     if not pieces:
-        return out.select("key", "fp")
+        return out.select("key", keep)
     # the 42 or 43 bits outside the segment, turned to the bottom: of five pieces of nine bits one has no difference
     turned = _by_segment("(if({high} < 64, shiftrightunsigned(fp, {high}), 0L) | if({left} > 0, shiftleft(fp, {left}), fp)) & {outside}")
     out = out.withColumn("turned", turned).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return out.select("key", "piece", F.expr("shiftrightunsigned(turned, 9 * piece) & 511L").alias("value"), "fp")
+    return out.select("key", "piece", F.expr("shiftrightunsigned(turned, 9 * piece) & 511L").alias("value"), keep)
 
 
 def links(fps: DataFrame, distance: int = 4, common: int = 8_000_000) -> DataFrame:
@@ -115,20 +115,100 @@ def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) ->
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash_components(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def sketch(text: str | None) -> tuple[int, int]:
+    """Two SimHashes of the set of words of a whole text, by two seeds, as signed 64-bit integers."""
+    own = set(words_of(text))
+    out = []
+    for seed in (42, 43):
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in own), dtype="<u8", count=len(own))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        value = sum(1 << i for i in np.flatnonzero(2 * bits > len(own)).tolist())
+        out.append(value - (1 << 64) if value >> 63 else value)
+    return out[0], out[1]
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the distinct word shingles of a whole text (of all its words, if there are fewer)."""
+    words = words_of(text)
+    own = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in own), dtype=np.uint64, count=len(own)).view(np.int64)
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """Documents by a hash of id and text, under which rows that repeat are one."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("node"), "doc_id", "text")
+
+
+def similar(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of word shingles have at least this Jaccard similarity."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = _nodes(docs).select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t.as_py(), width) for t in part.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
+
+    sets = cut(texts.mapInArrow(hashed, "node bigint, s array<bigint>"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return cut(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each group of near duplicates (the smallest doc_id), columns as they are.
+def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 22) -> DataFrame:
+    """(node, doc_id, stays) for documents in groups linked by five-word shingle similarity; one of each group stays.
 
-    Groups are the components of fingerprints over word shingles. A null doc_id stays only where a group has no other;
-    of rows that repeat a doc_id one stays.
+    SimHashes of the sets of words (two of 64 bits) find candidates, exact shingle sets verify them. First the documents
+    that share a whole segment are compared with the first of them, which joins a large group of near copies by few
+    links; then all that share a segment but for one bit, unless they are in one group already.
     """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            both = [sketch(t.as_py()) for t in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x for x, _ in both], pa.int64()), pa.array([y for _, y in both], pa.int64())], names=["node", "doc_id", "fp", "hi"])
+
+    found = cut(_nodes(docs).mapInArrow(sketches, f"node bigint, doc_id {id_type}, fp bigint, hi bigint").dropDuplicates(["node"]))
+
+    def near(p: str, q: str) -> Column:
+        return F.bit_count(F.col(f"{p}.fp").bitwiseXOR(F.col(f"{q}.fp"))) + F.bit_count(F.col(f"{p}.hi").bitwiseXOR(F.col(f"{q}.hi"))) <= distance
+
+    me = F.struct("node", "fp", "hi")
+    parts = F.array(*[F.struct(F.lit(3 * k + i).alias("k"), F.col(c).bitwiseAND(F.lit(_bits(*SEGMENTS[i]))).alias("v")) for k, c in enumerate(("fp", "hi")) for i in range(3)])
+    whole = found.select(me.alias("one"), F.explode(parts).alias("key"))
+    first = whole.groupBy("key").agg(F.min("one").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    stars = whole.join(first, "key").filter((F.col("one.node") != F.col("first.node")) & near("one", "first"))
+    links_1 = similar(docs, cut(stars.select(F.greatest("one.node", "first.node").alias("a"), F.least("one.node", "first.node").alias("b")).distinct()), width, similarity)
+    groups = components(links_1)
+    grouped = cut(found.join(groups, "node", "left").select("node", "fp", "hi", F.coalesce("root", "node").alias("group")))
+
+    one = F.struct("node", "fp", "hi", "group").alias("one")
+    half = F.lit(1 << 40).cast("long")
+    index = keys(grouped.select(one, "fp"), False, "one").unionByName(keys(grouped.select(one, F.col("hi").alias("fp")), False, "one").withColumn("key", F.col("key").bitwiseOR(half)))
+    # a pair passes under the first key that it shares: of the first half, else of the second
+    low, high = (first_key(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}"))) for c in ("fp", "hi"))
+    own = F.shiftrightunsigned("key", 32) == F.coalesce(low, high.bitwiseOR(F.lit(1 << 8)))
+    apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.group") != F.col("q.group")) & near("p", "q") & own
+    rest = index.withColumnRenamed("one", "p").join(index.withColumnRenamed("one", "q"), "key").filter(apart)
+    links_2 = similar(docs, cut(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))), width, similarity)
+    roots = components(links_1.unionByName(links_2))
+    named = found.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("node").alias("best"))).alias("m"))
+    return named.join(best, "root").select("node", "doc_id", (F.col("node") == F.col("m.best")).alias("stays"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each group of near duplicates (the smallest doc_id), columns as they are."""
     columns = docs.columns
-    classes = simhash_components(docs, shingle, distance)
-    # one row of each component: the document that names it (or has no name at all)
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in columns])
+    stay = near_components(docs, width, similarity).filter("stays").select(F.col("node").alias("__stay"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.xxhash64("doc_id", "text").alias("__node"))
+    return rows.join(stay, F.col("__node") == F.col("__stay"), "left_semi").dropDuplicates(["__node"]).select("__row.*")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
