@@ -12,10 +12,22 @@ CONVERSIONS = {
     ("mg/dL", "mmol/L"): (1 / 18.0182, 0.0), ("mmol/L", "mg/dL"): (18.0182, 0.0), ("°C", "°F"): (9 / 5, 32.0), ("°F", "°C"): (5 / 9, -160 / 9),
 }
 #: Units that a locale prefers.
-LOCALES = {"en-US": {"weight": "lbs", "height": "in", "cholesterol": "mg/dL", "temperature": "°F"}, "default": {"weight": "kg", "height": "cm", "cholesterol": "mmol/L", "temperature": "°C"}}
+LOCALES = {"en-US": {"weight": "lbs", "height": "in", "cholesterol": "mg/dL", "temperature": "°F"}, "en-GB": {"weight": "st", "height": "cm", "cholesterol": "mmol/L", "temperature": "°C"}, "default": {"weight": "kg", "height": "cm", "cholesterol": "mmol/L", "temperature": "°C"}}
 KINDS = {"kg": "weight", "lbs": "weight", "st": "weight", "cm": "height", "in": "height", "ft": "height", "mg/dL": "cholesterol", "mmol/L": "cholesterol", "°C": "temperature", "°F": "temperature"}
 
 
+#: Units of measured traits.
+TRAIT_UNITS = {
+    "EFO_0007777": "kcal/day", "EFO_0006335": "mmHg", "EFO_0004465": "mmHg", "EFO_0004612": "mg/dL", "EFO_0004611": "mg/dL", "EFO_0004574": "mg/dL", "EFO_0004530": "mg/dL", "EFO_0004458": "mg/L", "EFO_0004541": "%",
+    "EFO_0004340": "kg/m²", "EFO_0004338": "kg", "EFO_0004713": "%", "EFO_0004462": "ms", "EFO_0005278": "units", "EFO_0005106": "%", "EFO_0004703": "years", "OBA_1001005": "μmol/L", "EFO_0005035": "mm³", "EFO_0009395": "mm³", "OBA_2045237": "mm³",
+}
+
+
+def trait_unit(trait_id: Column) -> Column:
+    units = F.create_map(*[F.lit(x) for kv in TRAIT_UNITS.items() for x in kv])
+    return F.coalesce(F.element_at(units, trait_id), F.lit("units"))
+
+
 def convert(value: Column, source: Column, target: Column) -> Column:
     """A value in another unit; as it is where there is no conversion."""
     out = value
