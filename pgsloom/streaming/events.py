@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
     """A Parquet file or folder as a stream; its schema is read once from the files."""
     schema = spark.read.parquet(path).schema
+    folder, _, name = path.rstrip("/").rpartition("/")
+    path = f"{folder}/[{name[0]}]{name[1:]}"  # as a pattern, a path may also be a single file
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows  # event time has a zone
 
