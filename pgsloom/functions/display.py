@@ -54,11 +54,11 @@ def signed(x: Column, digits: int) -> Column:
 
 
 def z_text(z: Column) -> Column:
-    return F.coalesce(F.concat(signed(z, 2), F.lit("σ")), F.lit("N/A"))
+    return F.when(z.isNull(), "N/A").otherwise(F.concat(signed(z, 2), F.lit("σ")))
 
 
 def score_text(score: Column) -> Column:
-    return F.coalesce(F.when(F.abs(score) >= 10, signed(score, 2)).otherwise(signed(score, 3)), F.lit("N/A"))
+    return F.when(score.isNull(), "N/A").when(F.abs(score) >= 10, signed(score, 2)).otherwise(signed(score, 3))
 
 
 def bucket_label(low: Column, high: Column) -> Column:
