@@ -38,7 +38,11 @@ def performance_weight(t: Inputs) -> DataFrame:
     return catalog.performance_weights(t.view("pgs_scores"), t.view("pgs_performance")).select("pgs_id", "kind", *rounded("weight"))
 
 
-@query("performance_weight_enhanced")
+ENHANCED = """select s.pgs_id, b.kind, case when b.kind = 'R²' then least(1e0, b.value) when b.kind in ('OR', 'HR') then least(1e0, abs(ln(b.value)) / 2e0) else 5e-1 end as weight from fx_pgs_scores s left join (select pgs_id, metric_type as kind, metric_value as value from
+  (select *, row_number() over (partition by pgs_id order by case metric_type when 'R²' then 3 when 'OR' then 1 when 'HR' then 1 else 0 end desc, metric_value desc, metric_type desc) as rk from fx_pgs_performance) q where rk = 1) b on b.pgs_id = s.pgs_id"""
+
+
+@query("performance_weight_enhanced", f"select pgs_id, kind, round(weight, 6) as weight from ({ENHANCED}) w")
 def performance_weight_enhanced(t: Inputs) -> DataFrame:
     return catalog.performance_weights(t.view("pgs_scores"), t.view("pgs_performance"), "enhanced").select("pgs_id", "kind", *rounded("weight"))
 

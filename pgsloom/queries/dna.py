@@ -68,15 +68,17 @@ def chr_manifest(t: Inputs) -> DataFrame:
     return dna.chromosome_manifest(t.view("dna"))
 
 
-OBSERVED = "select p_partkey as k, 1 as chr, cast(p_partkey as int) as pos, substr('ACGT-', cast(p_partkey % 5 as int) + 1, 1) as allele1, substr('ACGT', cast(p_partkey / 5 as int) % 4 + 1, 1) as allele2 from part"
-PANEL = "select 1 as chr, cast(p_partkey as int) as pos, substr('ACGT', cast(p_partkey / 20 as int) % 4 + 1, 1) as panel_ref from part where p_partkey % 6 <> 0"
+OBSERVED = "select p_partkey as k, 1 as chr, cast(p_partkey as int) as pos, substr('ACGT-', cast(p_partkey % 5 as int) + 1, 1) as allele1, substr('ACGT', cast(floor(p_partkey / 5) as int) % 4 + 1, 1) as allele2 from part"
+PANEL = "select 1 as chr, cast(p_partkey as int) as pos, substr('ACGT', cast(floor(p_partkey / 20) as int) % 4 + 1, 1) as panel_ref from part where p_partkey % 6 <> 0"
 
 
-@query("ref_alt_gt")
+@query("ref_alt_gt", f"""with j as (select o.*, p.panel_ref as r, coalesce(p.panel_ref in (o.allele1, o.allele2), false) as fits, coalesce(p.panel_ref in (translate(o.allele1, 'ACGT', 'TGCA'), translate(o.allele2, 'ACGT', 'TGCA')), false) as comp
+    from ({OBSERVED}) o left join ({PANEL}) p on p.chr = o.chr and p.pos = o.pos where contains('ACGT', o.allele1) and contains('ACGT', o.allele2)),
+  x as (select *, not fits and comp as flipped, case when not fits and comp then translate(allele1, 'ACGT', 'TGCA') else allele1 end as x, case when not fits and comp then translate(allele2, 'ACGT', 'TGCA') else allele2 end as y from j where r is null or fits or comp)
+  select k, chr, pos, allele1, allele2, coalesce(r, least(allele1, allele2)) as ref, case when r is null and allele1 <> allele2 then greatest(allele1, allele2) when r is null then case when allele1 = 'A' then 'C' else 'A' end when x = r and y = r then case when r = 'A' then 'C' else 'A' end when x = r then y else x end as alt,
+    case when r is null then case when allele1 = allele2 then '0/0' else '0/1' end when x = r and y = r then '0/0' when x = r or y = r then '0/1' else '1/1' end as gt, r is not null and flipped as flipped from x""")
 def ref_alt_gt(t: Inputs) -> DataFrame:
-    observed = t.sql(OBSERVED.replace("p_partkey / 5", "floor(p_partkey / 5)"))
-    panel = t.sql(PANEL.replace("p_partkey / 20", "floor(p_partkey / 20)"))
-    return dna.strands(observed, panel)
+    return dna.strands(t.sql(OBSERVED), t.sql(PANEL))
 
 
 @query("allele_functions", """with v as (select pgs_id, variant_id, effect_allele, split_part(variant_id, ':', 3) as a, split_part(variant_id, ':', 4) as b, chr from fx_pack) select pgs_id, variant_id, concat(split_part(variant_id, ':', 1), ':', split_part(variant_id, ':', 2)) as position_key,

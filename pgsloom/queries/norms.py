@@ -113,7 +113,21 @@ def density_bins(t: Inputs) -> DataFrame:
     return rows.select("pgs_id", F.posexplode(S.density(F.col("norm_mean"), F.col("norm_sd"))).alias("bin", "density")).withColumn("density", F.round("density", 9))
 
 
-@query("percentile_grid")
+def _polynomial(x: str, coefficients: tuple[float, ...]) -> str:
+    out = f"{coefficients[0]:.17e}"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c:.17e})"
+    return out
+
+
+def _sql_inverse(p: str) -> str:
+    tail = lambda q: f"({_polynomial(q, S.INVERSE_C)} / {_polynomial(q, (*S.INVERSE_D, 1.0))})"
+    q = f"({p} - 5e-1)"
+    r = f"({q} * {q})"
+    return f"(case when {p} < 2425e-5 then {tail(f'sqrt(-2e0 * ln({p}))')} when {p} <= 97575e-5 then {_polynomial(r, S.INVERSE_A)} * {q} / {_polynomial(r, (*S.INVERSE_B, 1.0))} else -{tail(f'sqrt(-2e0 * ln(1e0 - {p}))')} end)"
+
+
+@query("percentile_grid", f"with g as (select pgs_id, norm_mean, norm_sd, unnest(generate_series(0, 98)) as i from fx_pgs_scores where norm_sd > 0) select pgs_id, cast(i as int) as p, round(norm_mean + {_sql_inverse('((i + 1) / 1e2)')} * norm_sd, 6) as score from g")
 def percentile_grid(t: Inputs) -> DataFrame:
     rows = t.view("pgs_scores").filter("norm_sd > 0")
     return rows.select("pgs_id", F.posexplode(S.percentile_grid(F.col("norm_mean"), F.col("norm_sd"))).alias("p", "score")).withColumn("score", F.round("score", 6))
