@@ -158,12 +158,15 @@ def similar(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) ->
     return cut(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
-def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 22) -> DataFrame:
+def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 8, loose: int = 18, close: int = 10, crowd: int = 8) -> DataFrame:
     """(node, doc_id, stays) for documents in groups linked by five-word shingle similarity; one of each group stays.
 
-    SimHashes of the sets of words (two of 64 bits) find candidates, exact shingle sets verify them. First the documents
-    that share a whole segment are compared with the first of them, which joins a large group of near copies by few
-    links; then all that share a segment but for one bit, unless they are in one group already.
+    SimHashes of the sets of words (two of 64 bits) find candidates, exact shingle sets verify them. First, documents that
+    share a whole segment are compared with a few of them (the least by each of ``rounds`` hashes) if they differ in at
+    most ``loose`` of all 128 bits; this joins a large group of near copies by few links. Then all pairs whose first
+    SimHash differs in at most four bits, and both in at most ``close``, are found by the deletion variants and compared,
+    unless they are in one group already. None of these is left out. Other pairs that share a variant and differ in at
+    most ``loose`` bits are compared too, unless both had more than ``crowd`` partners in the first step.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -174,25 +177,26 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, di
 
     found = cut(_nodes(docs).mapInArrow(sketches, f"node bigint, doc_id {id_type}, fp bigint, hi bigint").dropDuplicates(["node"]))
 
-    def near(p: str, q: str) -> Column:
-        return F.bit_count(F.col(f"{p}.fp").bitwiseXOR(F.col(f"{q}.fp"))) + F.bit_count(F.col(f"{p}.hi").bitwiseXOR(F.col(f"{q}.hi"))) <= distance
+    def bits(c: str, p: str, q: str) -> Column:
+        return F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}")))
 
-    me = F.struct("node", "fp", "hi")
     parts = F.array(*[F.struct(F.lit(3 * k + i).alias("k"), F.col(c).bitwiseAND(F.lit(_bits(*SEGMENTS[i]))).alias("v")) for k, c in enumerate(("fp", "hi")) for i in range(3)])
-    whole = found.select(me.alias("one"), F.explode(parts).alias("key"))
-    first = whole.groupBy("key").agg(F.min("one").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    stars = whole.join(first, "key").filter((F.col("one.node") != F.col("first.node")) & near("one", "first"))
-    links_1 = similar(docs, cut(stars.select(F.greatest("one.node", "first.node").alias("a"), F.least("one.node", "first.node").alias("b")).distinct()), width, similarity)
+    whole = found.select(F.struct("node", "fp", "hi").alias("one"), F.explode(parts).alias("key"))
+    least = [F.min(F.struct(F.xxhash64("one.node", F.lit(r)).alias("h"), F.col("one").alias("one")))["one"].alias(f"r{r}") for r in range(rounds)]
+    some = whole.groupBy("key").agg(F.count("*").alias("n"), *least).filter("n > 1").select("key", F.array_distinct(F.array(*[f"r{r}" for r in range(rounds)])).alias("some"))
+    stars = whole.join(some, "key").select("one", F.explode("some").alias("first")).filter((F.col("one.node") != F.col("first.node")) & (bits("fp", "one", "first") + bits("hi", "one", "first") <= loose))
+    pairs = cut(stars.select(F.greatest("one.node", "first.node").alias("a"), F.least("one.node", "first.node").alias("b")).distinct())
+    links_1 = similar(docs, pairs, width, similarity)
     groups = components(links_1)
-    grouped = cut(found.join(groups, "node", "left").select("node", "fp", "hi", F.coalesce("root", "node").alias("group")))
-
-    one = F.struct("node", "fp", "hi", "group").alias("one")
-    half = F.lit(1 << 40).cast("long")
-    index = keys(grouped.select(one, "fp"), False, "one").unionByName(keys(grouped.select(one, F.col("hi").alias("fp")), False, "one").withColumn("key", F.col("key").bitwiseOR(half)))
-    # a pair passes under the first key that it shares: of the first half, else of the second
-    low, high = (first_key(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}"))) for c in ("fp", "hi"))
-    own = F.shiftrightunsigned("key", 32) == F.coalesce(low, high.bitwiseOR(F.lit(1 << 8)))
-    apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.group") != F.col("q.group")) & near("p", "q") & own
+    busy = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg((F.count("*") > crowd).alias("busy"))
+    grouped = found.join(groups, "node", "left").join(busy, "node", "left")
+    grouped = cut(grouped.select("node", "fp", "hi", F.coalesce("root", "node").alias("group"), F.coalesce("busy", F.lit(False)).alias("busy")))
+
+    index = keys(grouped.select(F.struct("node", "group", "fp", "hi", "busy").alias("one"), "fp"), False, "one")
+    own = F.shiftrightunsigned("key", 32) == first_key(F.col("p.fp").bitwiseXOR(F.col("q.fp")))
+    all_bits = bits("fp", "p", "q") + bits("hi", "p", "q")
+    within = ((bits("fp", "p", "q") <= 4) & (all_bits <= close)) | ((all_bits <= loose) & ~(F.col("p.busy") & F.col("q.busy")))
+    apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.group") != F.col("q.group")) & within & own
     rest = index.withColumnRenamed("one", "p").join(index.withColumnRenamed("one", "q"), "key").filter(apart)
     links_2 = similar(docs, cut(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))), width, similarity)
     roots = components(links_1.unionByName(links_2))
