@@ -158,14 +158,14 @@ def similar(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) ->
     return cut(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
-def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 8, loose: int = 18, close: int = 10, crowd: int = 8) -> DataFrame:
+def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 8, loose: int = 18, close: int = 9, crowd: int = 8) -> DataFrame:
     """(node, doc_id, stays) for documents in groups linked by five-word shingle similarity; one of each group stays.
 
     SimHashes of the sets of words (two of 64 bits) find candidates, exact shingle sets verify them. First, documents that
     share a whole segment are compared with a few of them (the least by each of ``rounds`` hashes) if they differ in at
     most ``loose`` of all 128 bits; this joins a large group of near copies by few links. Then all pairs whose first
-    SimHash differs in at most four bits, and both in at most ``close``, are found by the deletion variants and compared,
-    unless they are in one group already. None of these is left out. Other pairs that share a variant and differ in at
+    SimHash differs in at most four bits, and both in at most ``close`` (two times four and one), are found by the deletion
+    variants and compared, unless they are in one group already. None of these is left out. Other pairs that share a variant and differ in at
     most ``loose`` bits are compared too, unless both had more than ``crowd`` partners in the first step.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -198,7 +198,8 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
     within = ((bits("fp", "p", "q") <= 4) & (all_bits <= close)) | ((all_bits <= loose) & ~(F.col("p.busy") & F.col("q.busy")))
     apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.group") != F.col("q.group")) & within & own
     rest = index.withColumnRenamed("one", "p").join(index.withColumnRenamed("one", "q"), "key").filter(apart)
-    links_2 = similar(docs, cut(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))), width, similarity)
+    rest = rest.select(F.col("q.node").alias("a"), F.col("p.node").alias("b")).join(pairs, ["a", "b"], "left_anti")  # the first step has compared those
+    links_2 = similar(docs, cut(rest), width, similarity)
     roots = components(links_1.unionByName(links_2))
     named = found.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("node").alias("best"))).alias("m"))
