@@ -13,6 +13,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,18 +120,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def sketch(text: str | None) -> tuple[int, int]:
-    """Two SimHashes of the set of words of a whole text, by two seeds, as signed 64-bit integers."""
-    own = set(words_of(text))
-    out = []
-    for seed in (42, 43):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in own), dtype="<u8", count=len(own))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        value = sum(1 << i for i in np.flatnonzero(2 * bits > len(own)).tolist())
-        out.append(value - (1 << 64) if value >> 63 else value)
-    return out[0], out[1]
-
-
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """Hashes of the distinct word shingles of a whole text (of all its words, if there are fewer)."""
     words = words_of(text)
@@ -158,48 +147,81 @@ def similar(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) ->
     return cut(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
-def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 8, loose: int = 18, close: int = 9, crowd: int = 8) -> DataFrame:
-    """(node, doc_id, stays) for documents in groups linked by five-word shingle similarity; one of each group stays.
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of the first of n elements, in any order that all sets share, must have one in common with a similar set."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def parities(hashes: np.ndarray) -> list[int]:
+    """512 bits as signed 64-bit integers: bit h mod 512 turns with each element. A difference of d elements turns at most d bits."""
+    odd = np.bincount(hashes.view(np.uint64) % np.uint64(512), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
 
-    SimHashes of the sets of words (two of 64 bits) find candidates, exact shingle sets verify them. First, documents that
-    share a whole segment are compared with a few of them (the least by each of ``rounds`` hashes) if they differ in at
-    most ``loose`` of all 128 bits; this joins a large group of near copies by few links. Then all pairs whose first
-    SimHash differs in at most four bits, and both in at most ``close`` (two times four and one), are found by the deletion
-    variants and compared, unless they are in one group already. None of these is left out. Other pairs that share a variant and differ in at
-    most ``loose`` bits are compared too, unless both had more than ``crowd`` partners in the first step.
-    """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(docs: DataFrame, width: int, similarity: float, often: int = 20, most: int = 100_000) -> np.ndarray:
+    """Shingles that many documents have among their first by hash, sorted: at most ``most``, the commonest."""
+
+    def firsts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            both = [sketch(t.as_py()) for t in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x for x, _ in both], pa.int64()), pa.array([y for _, y in both], pa.int64())], names=["node", "doc_id", "fp", "hi"])
+            owns = [np.sort(shingle_hashes(t.as_py(), width)) for t in part.column(0)]
+            first = [x[: prefix_length(len(x), similarity)] for x in owns]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first) if first else [], pa.int64())], names=["key"])
+
+    counts = docs.select("text").mapInArrow(firsts, "key bigint").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > often)
+    return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(most).collect()], np.int64))
 
-    found = cut(_nodes(docs).mapInArrow(sketches, f"node bigint, doc_id {id_type}, fp bigint, hi bigint").dropDuplicates(["node"]))
 
-    def bits(c: str, p: str, q: str) -> Column:
-        return F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}")))
+def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 6, lowest: int = 4) -> DataFrame:
+    """(node, doc_id, stays) for documents in groups linked by five-word shingle similarity; one of each group stays.
 
-    parts = F.array(*[F.struct(F.lit(3 * k + i).alias("k"), F.col(c).bitwiseAND(F.lit(_bits(*SEGMENTS[i]))).alias("v")) for k, c in enumerate(("fp", "hi")) for i in range(3)])
-    whole = found.select(F.struct("node", "fp", "hi").alias("one"), F.explode(parts).alias("key"))
+    First, documents that share one of their ``lowest`` least shingle hashes are compared with a few of them (the least by
+    each of ``rounds`` hashes); this joins a large group of near copies by few links and decides nothing else. Then all
+    pairs that are not in one group and may have the similarity are found by the prefix filter: in an order that all
+    documents share (common shingles last, then by hash), similar sets have an element in common among their first fifth
+    and one. A pair goes only where it cannot be similar: by the sizes, by the places of the shared shingle, or because the
+    parity bits differ in more places than the sets may. What is left is compared by the exact sets, so no pair is lost.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, width, similarity))
+
+    def described(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.append(shared.value, np.iinfo(np.int64).max)
+        for part in parts:
+            rows = []
+            for t in part.column(2):
+                own = np.sort(shingle_hashes(t.as_py(), width))
+                late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+                rows.append((len(own), parities(own), own[:lowest], np.concatenate((own[~late], own[late]))[: prefix_length(len(own), similarity)]))
+            n, bits, low, first = zip(*rows) if rows else [()] * 4
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (bits, low, first)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), *lists], names=["node", "doc_id", "n", "bits", "low", "first"])
+
+    found = cut(_nodes(docs).mapInArrow(described, f"node bigint, doc_id {id_type}, n bigint, bits array<bigint>, low array<bigint>, first array<bigint>").dropDuplicates(["node"]))
+
+    def possible(p: str, q: str) -> Column:
+        """Neither the sizes nor the parity bits of two documents rule the similarity out."""
+        differ = " + ".join(f"bit_count({p}.bits[{i}] ^ {q}.bits[{i}])" for i in range(8))
+        sizes = F.least(f"{p}.n", f"{q}.n") >= similarity * F.greatest(f"{p}.n", f"{q}.n") - 1e-6
+        return sizes & (F.expr(differ) <= (1 - similarity) / (1 + similarity) * (F.col(f"{p}.n") + F.col(f"{q}.n")) + 1e-6)
+
+    whole = found.select(F.struct("node", "n", "bits").alias("one"), F.explode("low").alias("key"))
     least = [F.min(F.struct(F.xxhash64("one.node", F.lit(r)).alias("h"), F.col("one").alias("one")))["one"].alias(f"r{r}") for r in range(rounds)]
     some = whole.groupBy("key").agg(F.count("*").alias("n"), *least).filter("n > 1").select("key", F.array_distinct(F.array(*[f"r{r}" for r in range(rounds)])).alias("some"))
-    stars = whole.join(some, "key").select("one", F.explode("some").alias("first")).filter((F.col("one.node") != F.col("first.node")) & (bits("fp", "one", "first") + bits("hi", "one", "first") <= loose))
-    pairs = cut(stars.select(F.greatest("one.node", "first.node").alias("a"), F.least("one.node", "first.node").alias("b")).distinct())
+    stars = whole.join(some, "key").select("one", F.explode("some").alias("other")).filter((F.col("one.node") != F.col("other.node")) & possible("one", "other"))
+    pairs = cut(stars.select(F.greatest("one.node", "other.node").alias("a"), F.least("one.node", "other.node").alias("b")).distinct())
     links_1 = similar(docs, pairs, width, similarity)
-    groups = components(links_1)
-    busy = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg((F.count("*") > crowd).alias("busy"))
-    grouped = found.join(groups, "node", "left").join(busy, "node", "left")
-    grouped = cut(grouped.select("node", "fp", "hi", F.coalesce("root", "node").alias("group"), F.coalesce("busy", F.lit(False)).alias("busy")))
-
-    index = keys(grouped.select(F.struct("node", "group", "fp", "hi", "busy").alias("one"), "fp"), False, "one")
-    own = F.shiftrightunsigned("key", 32) == first_key(F.col("p.fp").bitwiseXOR(F.col("q.fp")))
-    all_bits = bits("fp", "p", "q") + bits("hi", "p", "q")
-    within = ((bits("fp", "p", "q") <= 4) & (all_bits <= close)) | ((all_bits <= loose) & ~(F.col("p.busy") & F.col("q.busy")))
-    apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.group") != F.col("q.group")) & within & own
-    rest = index.withColumnRenamed("one", "p").join(index.withColumnRenamed("one", "q"), "key").filter(apart)
-    rest = rest.select(F.col("q.node").alias("a"), F.col("p.node").alias("b")).join(pairs, ["a", "b"], "left_anti")  # the first step has compared those
-    links_2 = similar(docs, cut(rest), width, similarity)
+    grouped = cut(found.join(components(links_1), "node", "left").select("node", "n", "bits", "first", F.coalesce("root", "node").alias("group")))
+
+    index = grouped.select("node", "group", F.posexplode("first").alias("at", "key"))
+    mixed = index.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key")
+    index = cut(index.join(mixed, "key", "left_semi").select("key", "node", "at"))
+    index = index.join(grouped.drop("first"), "node").select("key", F.struct("node", "group", "n", "at", "bits").alias("one"))
+    # no more than the shared shingle and all after it can be common, if it is the first that the two share
+    rest = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at")) >= similarity / (1 + similarity) * (F.col("p.n") + F.col("q.n")) - 1e-6
+    apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.group") != F.col("q.group")) & rest & possible("p", "q")
+    more = index.withColumnRenamed("one", "p").join(index.withColumnRenamed("one", "q"), "key").filter(apart)
+    more = more.select(F.col("q.node").alias("a"), F.col("p.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")  # the first step has compared those
+    links_2 = similar(docs, cut(more), width, similarity)
     roots = components(links_1.unionByName(links_2))
     named = found.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("node").alias("best"))).alias("m"))

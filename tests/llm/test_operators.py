@@ -152,6 +152,33 @@ def test_near_stage_finds_edited_copies(spark):
     assert len(ids & set(range(40, 60))) == 0
 
 
+def test_near_stage_loses_no_pair(spark):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 9))) for _ in range(3000)]
+    base = rnd.choices(words, k=300)
+    rows = []
+    for k in range(60):  # a crowd of copies whose similarity to one another lies on both sides of the limit
+        w = list(base)
+        for at in rnd.sample(range(300), rnd.randint(1, 12)):
+            w[at] = rnd.choice(words)
+        rows.append(w)
+    for _ in range(40):  # passages gained and lost
+        w = rnd.choices(words, k=rnd.randint(30, 400))
+        rows += [w, w + rnd.choices(words, k=len(w) * rnd.randint(5, 24) // 100), w[: len(w) - len(w) * rnd.randint(5, 19) // 100]]
+    texts = [" ".join(w) for w in rows]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    want = {min(i for i, r in enumerate(root) if r == x) for x in root}
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert 60 < len(want) < 130 and got == want
+
+
 def test_components_of_a_chain(spark):
     from pgsloom.llm.common import components
 
