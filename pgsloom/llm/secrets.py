@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and Markov models that tell random strings from ordinary identifiers.
 
 Two character chains are trained from labelled samples: one on random strings (keys and tokens), one on ordinary words
-and identifiers. A long run of key characters is a secret when the log-likelihood ratio of the two chains is above the
-highest that ordinary samples kept for this reach, plus a margin. The fixed patterns stay beside it as they are.
+and identifiers. A long run of key characters is a secret when the log-likelihood ratio of the two chains, per character,
+is above zero and a high quantile of the ordinary samples of that length kept for this, plus a margin. The fixed patterns stay beside it as they are.
 
 Labelled samples: random strings made by rule from a fixed seed; identifiers made by rule from plain words; and the
-words of at most ``sample`` documents (the ones with the least hash of their id), but for those that a pattern marks.
+words of at most ``sample`` documents (the ones with the least hash of their id), but for those that a pattern marks. A
+word is a run of 4 to 19 small letters, the first may be a capital: too short to be a candidate itself, so no key is one.
 Scanning covers every whole text. Offsets are code points, ends exclusive.
 
 Defined cases: a null text counts as empty, without spans; the spans of repeated rows are reported for each row; an
@@ -33,6 +34,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
+#: Fixed value: a run that is ordinary whatever the document holds.
+ORDINARY_WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][a-z]{3,18}(?![A-Za-z0-9+/_=-])")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Fixed value: plain words that ordinary identifiers are made of.
 PLAIN = (
@@ -98,16 +101,17 @@ def chain(samples: list[str]) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, secret: list[str], ordinary: list[str], margin: float = 6.0):
+    def __init__(self, secret: list[str], ordinary: list[str], margin: float = 0.1, quantile: float = 0.999):
         order = random.Random(5).sample(range(len(ordinary)), len(ordinary))
         kept = set(order[: len(ordinary) // 4])  # for the threshold only
         self.ratio = chain(secret) - chain([s for i, s in enumerate(ordinary) if i not in kept])
-        self.threshold = max([0.0, *(self.score(ordinary[i]) for i in kept)]) + margin
+        long = [self.score(ordinary[i]) for i in kept if len(ordinary[i]) >= 20]  # what can be a candidate
+        self.threshold = max(0.0, float(np.quantile(long, quantile)) if long else 0.0) + margin
 
     def score(self, s: str) -> float:
-        """Log-likelihood ratio of random against ordinary."""
+        """Log-likelihood ratio of random against ordinary, per character."""
         c = codes(s)
-        return float(self.ratio[np.concatenate(([0], c[:-1])), c].sum()) if len(c) else 0.0
+        return float(self.ratio[np.concatenate(([0], c[:-1])), c].mean()) if len(c) else 0.0
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """All spans of a text, by start, then kind."""
@@ -127,7 +131,7 @@ def train(docs: DataFrame, sample: int = 300) -> Model:
     for r in rows:
         text = r["text"] or ""
         marked = base_spans(text)
-        ordinary |= {m[0] for m in re.finditer(r"[A-Za-z0-9+/_=-]{4,}", text) if not any(m.start() < e and s < m.end() for s, e, _ in marked)}
+        ordinary |= {m[0] for m in ORDINARY_WORD.finditer(text) if not any(m.start() < e and s < m.end() for s, e, _ in marked)}
     words = sorted(ordinary)
     rnd = random.Random(6)
     # long ordinary runs, as in texts whose words are not parted

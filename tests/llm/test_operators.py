@@ -254,6 +254,17 @@ def test_secrets(spark):
     assert not any(model.score(s) > model.threshold for s in secrets.identifiers(500, seed=78))
 
 
+def test_bare_keys_in_documents_do_not_lift_the_threshold(spark):
+    rnd, letters = random.Random(3), secrets.string.ascii_letters + secrets.string.digits
+    rows = [(i, "the garden was quiet and nobody came by before evening", "s") for i in range(20)]
+    rows += [(100 + i, "note " + "".join(rnd.choices(letters, k=1000 if i else 40)), "s") for i in range(4)]
+    model = secrets.train(frame(spark, rows))
+    for size in (20, 24, 32, 40):
+        keys = ["".join(rnd.choices(letters, k=size)) for _ in range(200)]
+        assert np.mean([model.score(k) > model.threshold for k in keys]) > 0.95
+    assert not any(model.score(s) > model.threshold for s in secrets.identifiers(500, seed=79))
+
+
 PAGE = """<html><head><title>x</title></head><body><header><h1>Site</h1></header><nav><ul><li><a>Home</a></ul></nav><div id="cookie-notice">We use cookies, and so on.</div>
 <div class="wrap"><div class="content"><h2>Head line</h2><p>First para, with a <a href="a>b">link</a>&nbsp;&amp; more  text, long enough.<p>Second para is here, and it goes on for a while.<ul><li>one item<li>two item</ul><p>ok</div>
 <div class="sidebar"><p>side text</p></div></div><section id="comments"><p>Nice one, I agree with all of this, truly.</p></section><form><input><label>mail</label></form><script>if (a < b) "</p>"</script><footer>&copy; me</footer></body></html>"""
