@@ -174,12 +174,14 @@ def _common(docs: DataFrame, width: int, similarity: float, often: int = 20, mos
 def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 6, lowest: int = 4) -> DataFrame:
     """(node, doc_id, stays) for documents in groups linked by five-word shingle similarity; one of each group stays.
 
-    First, documents that share one of their ``lowest`` least shingle hashes are compared with a few of them (the least by
-    each of ``rounds`` hashes); this joins a large group of near copies by few links and decides nothing else. Then all
-    pairs that are not in one group and may have the similarity are found by the prefix filter: in an order that all
-    documents share (common shingles last, then by hash), similar sets have an element in common among their first fifth
-    and one. A pair goes only where it cannot be similar: by the sizes, by the places of the shared shingle, or because the
-    parity bits differ in more places than the sets may. What is left is compared by the exact sets, so no pair is lost.
+    First come the SimHash links of this module, over shingles of this width: documents of one component are compared
+    with a few of it (the least by each of ``rounds`` hashes), and so are documents that share one of their ``lowest``
+    least shingle hashes. This joins a large group of near copies by few links and decides nothing else, as a similarity
+    of 0.8 turns about ten of 64 bits and no index of one-wildcard keys reaches that far. So all pairs that are not yet in
+    one group and may have the similarity are then found by the prefix filter: in an order that all documents share
+    (common shingles last, then by hash), similar sets have an element in common among their first fifth and one. A pair
+    goes only where it cannot be similar: by the sizes, by the places of the shared shingle, or because the parity bits
+    differ in more places than the sets may. What is left is compared by the exact sets, so no pair is lost.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, width, similarity))
@@ -191,12 +193,12 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
             for t in part.column(2):
                 own = np.sort(shingle_hashes(t.as_py(), width))
                 late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
-                rows.append((len(own), parities(own), own[:lowest], np.concatenate((own[~late], own[late]))[: prefix_length(len(own), similarity)]))
-            n, bits, low, first = zip(*rows) if rows else [()] * 4
+                rows.append((len(own), fingerprint(t.as_py(), width), parities(own), own[:lowest], np.concatenate((own[~late], own[late]))[: prefix_length(len(own), similarity)]))
+            n, fps, bits, low, first = zip(*rows) if rows else [()] * 5
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (bits, low, first)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), *lists], names=["node", "doc_id", "n", "bits", "low", "first"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), *lists], names=["node", "doc_id", "n", "fp", "bits", "low", "first"])
 
-    found = cut(_nodes(docs).mapInArrow(described, f"node bigint, doc_id {id_type}, n bigint, bits array<bigint>, low array<bigint>, first array<bigint>").dropDuplicates(["node"]))
+    found = cut(_nodes(docs).mapInArrow(described, f"node bigint, doc_id {id_type}, n bigint, fp bigint, bits array<bigint>, low array<bigint>, first array<bigint>").dropDuplicates(["node"]))
 
     def possible(p: str, q: str) -> Column:
         """Neither the sizes nor the parity bits of two documents rule the similarity out."""
@@ -204,7 +206,9 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
         sizes = F.least(f"{p}.n", f"{q}.n") >= similarity * F.greatest(f"{p}.n", f"{q}.n") - 1e-6
         return sizes & (F.expr(differ) <= (1 - similarity) / (1 + similarity) * (F.col(f"{p}.n") + F.col(f"{q}.n")) + 1e-6)
 
-    whole = found.select(F.struct("node", "n", "bits").alias("one"), F.explode("low").alias("key"))
+    alike = components(cut(links(found.select("fp").distinct()))).select(F.col("node").alias("fp"), F.xxhash64(F.lit("component"), "root").alias("component"))
+    own = F.array_compact(F.array_append("low", F.coalesce("component", F.xxhash64(F.lit("component"), "fp"))))
+    whole = found.join(alike, "fp", "left").select(F.struct("node", "n", "bits").alias("one"), F.explode(own).alias("key"))
     least = [F.min(F.struct(F.xxhash64("one.node", F.lit(r)).alias("h"), F.col("one").alias("one")))["one"].alias(f"r{r}") for r in range(rounds)]
     some = whole.groupBy("key").agg(F.count("*").alias("n"), *least).filter("n > 1").select("key", F.array_distinct(F.array(*[f"r{r}" for r in range(rounds)])).alias("some"))
     stars = whole.join(some, "key").select("one", F.explode("some").alias("other")).filter((F.col("one.node") != F.col("other.node")) & possible("one", "other"))

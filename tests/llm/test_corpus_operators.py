@@ -179,6 +179,42 @@ def test_near_stage_loses_no_pair(spark):
     assert 60 < len(want) < 130 and got == want
 
 
+def clusters(texts, width=5, similarity=0.8):
+    """The class of each text by brute force: the smallest place reachable over similar pairs."""
+    sets = [set(simhash.shingle_hashes(t, width).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("edits", [3, 4])
+def test_near_stage_on_a_crowd(spark, edits):
+    rnd = random.Random(edits)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 9))) for _ in range(3000)]
+    base, texts = rnd.choices(words, k=200), []
+    for k in range(401):  # the base and 400 copies, which are less like each other than like the base
+        w = list(base)
+        for at in rnd.sample(range(200), edits if k else 0):
+            w[at] = rnd.choice(words)
+        texts.append(" ".join(w))
+    want = set(clusters(texts))
+    got = {r["doc_id"] for r in simhash.keep_one(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == want
+
+
+def test_permuted_words_make_no_pairs(spark, monkeypatch):
+    rnd, seen, similar = random.Random(8), [], simhash.similar
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rnd.sample(words, 200)), "s") for i in range(600)]  # one bag of words, hardly a shingle in common
+    monkeypatch.setattr(simhash, "similar", lambda docs, pairs, *rest: (seen.append(pairs.count()), similar(docs, pairs, *rest))[1])
+    assert simhash.keep_one(frame(spark, rows)).count() == 600
+    assert sum(seen) < 600
+
+
 def test_components_of_a_chain(spark):
     from pgsloom.llm.common import components
 
