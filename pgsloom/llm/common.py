@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder that driver and executors share."""
+    if not spark.sparkContext.getCheckpointDir():
+        cut(spark.range(0))
+    return re.sub(r"^file:/+", "file:///", f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

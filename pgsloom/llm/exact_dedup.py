@@ -1,11 +1,17 @@
 """Exact duplicates by a persistent index of digests, bucketed and sorted by digest.
 
 Two texts are equal when they are identical after all white space is deleted. The index is a table with one row for
-each digest ever seen; a new batch is matched against it by a sort-merge anti-join in which the index needs neither
-a shuffle nor a sort, and the digests that are new are appended. All of it is DataFrame operations.
+each digest ever seen. A new batch is matched against it by a sort-merge anti-join in which the index needs neither a
+shuffle nor a sort; digests that are new are appended with their best row, and of those that were there already a row
+goes to a second table of the same buckets, since a later copy may be longer than the one that stays. The state of a digest
+is its index row and those later rows, joined bucket by bucket. All of it is DataFrame operations.
+
+Both tables lie in the shared checkpoint folder unless another one is given. Each batch has a name of its own; to add
+one that the index holds is an error, not a second count.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; a null doc_id comes after all others;
-rows that repeat a doc_id are the same document; an empty table gives an empty result; other columns are not read.
+rows that repeat a doc_id are the same document; of rows equal in length and id any may stay, as they are alike but for
+white space; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pgsloom.llm.common import SPACE, cut, table
+from pgsloom.llm.common import SPACE, cut, remove, shared_folder, table
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -30,65 +36,98 @@ def winners(found: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(best.alias("b"), F.count("*").alias("group_size")).select("digest", F.col("b.d").alias("keep_id"), (-F.col("b.n")).alias("keep_points"), "group_size")
 
 
+BEST = "struct(-n_points as n, doc_id is null as z, doc_id as d)"
+
+
 class DigestIndex:
-    """A table (digest, keep_id, batch) in buckets sorted by digest; one row for each digest."""
+    """Tables ``name`` (digest, keep_id, keep_points, n, batch), a row a digest, and ``name_later``, a row a digest and later batch."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, name: str, buckets: int = 32, folder: str | None = None):
         self.spark, self.name, self.buckets = spark, name, buckets
+        self.folder = folder or shared_folder(spark, name)
 
-    def _append(self, rows: DataFrame) -> None:
-        # one file a bucket and batch: rows are dealt by the hash that also picks the bucket
-        rows.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
+    def _append(self, rows: DataFrame, name: str) -> None:
+        # one file a bucket and batch, as rows were dealt by the hash that also picks the bucket
+        rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.folder}/{name}").mode("append").saveAsTable(name)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
-    def dedup(self, docs: DataFrame, batch: str = "0") -> DataFrame:
-        """Match a batch against the index, append its new digests, and return a row for each document of the batch.
-
-        A document is kept if it is the best of its group in the batch and the group was not in the index before.
+        """Forget the index and delete its files."""
+        for name in (self.name, f"{self.name}_later"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self.folder)
+
+    def _has(self, name: str) -> bool:
+        return self.spark.catalog.tableExists(name)
+
+    def add(self, found: DataFrame, batch: str) -> None:
+        """Append the digests (doc_id, digest, n_points) of a batch: new ones by anti-join to the index, the others beside it."""
+        groups = winners(found).select("digest", "keep_id", "keep_points", F.col("group_size").alias("n"), F.lit(batch).alias("batch"))
+        groups = cut(groups.repartition(self.buckets, "digest"))
+        if not self._has(self.name):
+            self._append(groups, self.name)
+            self._append(groups.limit(0), f"{self.name}_later")
+            return
+        if self.spark.table(self.name).filter(F.col("batch") == batch).limit(1).count() or self.spark.table(f"{self.name}_later").filter(F.col("batch") == batch).limit(1).count():
+            raise ValueError(f"batch {batch!r} is in the index already")
+        index = self.spark.table(self.name).select("digest").hint("merge")
+        # both are worked out before either table grows
+        fresh, again = cut(groups.join(index, "digest", "left_anti")), cut(groups.join(index, "digest", "left_semi"))
+        self._append(fresh, self.name)
+        self._append(again, f"{self.name}_later")
+
+    def state(self) -> DataFrame:
+        """(digest, keep_id, keep_points, group_size, batch) of each digest over all batches; batch is the first."""
+        later = self.spark.table(f"{self.name}_later").withColumnsRenamed({"keep_id": "doc_id", "keep_points": "n_points"})
+        later = later.groupBy("digest").agg(F.min(F.expr(BEST)).alias("l"), F.sum("n").alias("more"))
+        first = self.spark.table(self.name).withColumn("f", F.expr(BEST.replace("n_points", "keep_points").replace("doc_id", "keep_id")))
+        both = first.join(later.hint("merge"), "digest", "left").withColumn("b", F.least("f", "l"))
+        return both.select("digest", F.col("b.d").alias("keep_id"), (-F.col("b.n")).alias("keep_points"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("group_size"), "batch")
+
+    def dedup(self, docs: DataFrame, batch: str) -> DataFrame:
+        """Match a batch against the index, append what is new, and return a row for each document of the batch.
+
+        A document is kept if no batch before had its text and it is the best of the texts equal to it in this batch.
+        keep_id and group_size are those over all batches so far.
         """
         found = cut(digests(docs))
-        groups = cut(winners(found))
-        fresh = groups.select("digest", "keep_id", F.lit(batch).alias("batch"))
-        if self.spark.catalog.tableExists(self.name):
-            fresh = cut(fresh.join(self.spark.table(self.name).hint("merge"), "digest", "left_anti"))
-        self._append(fresh)
-        known = self.spark.table(self.name).select("digest", F.col("keep_id").alias("first_id"), "batch")
-        groups = groups.join(known.hint("merge"), "digest").withColumn("fresh", F.col("batch") == batch)
-        # both sides are dealt by the join itself, so that a digest with very many rows is split at run time
-        return found.join(groups.select("digest", "first_id", "group_size", "fresh"), "digest").select(
-            "doc_id", F.col("first_id").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("fresh")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-        )
-
-
-def exact_dedup(docs: DataFrame, buckets: int = 32) -> DataFrame:
-    """Deduplicate one table against an index that starts empty and goes when the result is written."""
-    index = DigestIndex(docs.sparkSession, f"digests_{uuid.uuid4().hex}", buckets)
-    out = cut(index.dedup(docs))
-    index.drop()
-    return out
+        self.add(found, batch)
+        own = winners(found).select("digest", F.col("keep_id").alias("own_id"))
+        state = cut(self.state().join(own.hint("merge"), "digest").withColumn("fresh", F.col("batch") == batch))
+        kept = F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("own_id"))
+        return found.join(state, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def index_of(found: DataFrame, buckets: int = 32, batches: int = 2) -> DataFrame:
+    """(digest, keep_id, keep_points, group_size): digests run through an index of their own, batch after batch.
+
+    Rows are dealt to batches by a hash of their id. The index goes when the result is written, or when that fails.
+    """
+    index = DigestIndex(found.sparkSession, f"digests_{uuid.uuid4().hex}", buckets)
+    try:
+        for k in range(batches):
+            index.add(found.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(batches)) == k), str(k))
+        return cut(index.state().drop("batch"))
+    finally:
+        index.drop()
+
+
+def exact_dedup(docs: DataFrame, buckets: int = 32, batches: int = 2) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) for each document of one table."""
+    found = cut(digests(docs))
+    groups = index_of(found, buckets, batches)
+    # both sides are dealt by the join itself, so that a digest with very many rows is split at run time
+    return found.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each distinct text, with their columns as they are."""
     text = F.coalesce(F.col("text"), F.lit(""))
     mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256)).alias("__digest"), F.char_length(text).cast("long").alias("__n"))
-    keep = exact_keep(docs)
+    keep = index_of(cut(digests(docs)))
     on = (F.col("__digest") == F.col("digest")) & F.col("__row.doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__n") == F.col("keep_points"))
     return mine.join(keep, on, "left_semi").dropDuplicates(["__digest"]).select("__row.*")
 
 
-def exact_keep(docs: DataFrame) -> DataFrame:
-    """(digest, keep_id, keep_points) of the digests that are new to a fresh index over ``docs``."""
-    index = DigestIndex(docs.sparkSession, f"digests_{uuid.uuid4().hex}")
-    groups = cut(winners(digests(docs)))
-    index._append(groups.select("digest", "keep_id", F.lit("0").alias("batch")))
-    out = cut(groups.join(index.spark.table(index.name).select("digest").hint("merge"), "digest", "left_semi").select("digest", "keep_id", "keep_points"))
-    index.drop()
-    return out
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

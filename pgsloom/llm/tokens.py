@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pgsloom.llm.common import cut, table
+from pgsloom.llm.common import cut, remove, shared_folder, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank file.
@@ -59,13 +59,6 @@ class Tokenizer:
         return np.concatenate(out) if out else np.zeros(0, self.dtype)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder that driver and executors share."""
-    if not spark.sparkContext.getCheckpointDir():
-        cut(spark.range(0))
-    return re.sub(r"^file:/+", "file:///", f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
-
-
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Write flat token files, one for each partition, and return (file, ordinal, doc_id) of what is in them."""
     id_type = docs.schema["doc_id"].dataType.simpleString()

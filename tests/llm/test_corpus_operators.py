@@ -76,15 +76,35 @@ def test_exact_dedup(spark):
 
 def test_index_keeps_what_it_has_seen(spark):
     index = exact_dedup.DigestIndex(spark, "seen_before", 2)
-    index.drop()
-    first = index.dedup(frame(spark, [(1, "a b", "s"), (2, "c", "s")]), "1").collect()
-    second = {r["doc_id"]: r for r in index.dedup(frame(spark, [(3, "ab", "s"), (4, "new", "s")]), "2").collect()}
-    assert all(r["kept"] for r in first)
-    assert not second[3]["kept"] and second[3]["keep_id"] == 1 and second[4]["kept"]
-    assert spark.table("seen_before").count() == 3
-    plan = spark.table("seen_before").select("digest").join(spark.table("seen_before").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Exchange" not in plan
-    index.drop()
+    try:
+        first = index.dedup(frame(spark, [(1, "a b", "s"), (2, "c", "s"), (9, "c", "s")]), "1").collect()
+        second = {r["doc_id"]: r for r in index.dedup(frame(spark, [(3, "ab", "s"), (4, "new", "s"), (8, " c c ", "s"), (7, " c", "s")]), "2").collect()}
+        assert {r["doc_id"] for r in first if r["kept"]} == {1, 2}
+        assert {i for i, r in second.items() if r["kept"]} == {4, 8}  # "cc" is another text than "c"
+        assert (second[3]["keep_id"], second[3]["group_size"]) == (1, 2)
+        assert (second[7]["keep_id"], second[7]["group_size"]) == (7, 3)  # a longer copy came later
+        assert spark.table("seen_before").count() == 4
+        digest = spark.table("seen_before").select("digest")
+        plan = digest.join(digest.hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        with pytest.raises(ValueError, match="in the index already"):
+            index.dedup(frame(spark, [(5, "z", "s")]), "2")
+    finally:
+        index.drop()
+    assert not spark.catalog.tableExists("seen_before") and not spark.catalog.tableExists("seen_before_later")
+
+
+def test_the_anti_join_decides(spark, monkeypatch):
+    """Without it a digest of two batches has two rows in the index, and the result is wrong."""
+    plans, append = [], exact_dedup.DigestIndex._append
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_append", lambda self, rows, name: (plans.append((name, rows.count())), append(self, rows, name))[1])
+    rows = [(i, f"text {i % 30}", "s") for i in range(120)] + [(None, "text 1", "s")]
+    for batches in (1, 2, 5):
+        plans.clear()
+        got = exact_dedup.exact_dedup(frame(spark, rows), 2, batches).collect()
+        assert len(got) == 121 and {r["doc_id"] for r in got if r["kept"]} == set(range(30))
+        assert sum(n for name, n in plans if not name.endswith("_later")) == 30 and (batches == 1) == (sum(n for name, n in plans if name.endswith("_later")) == 0)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digests_")]
 
 
 def brute_fingerprint(text, width=4):
