@@ -5,36 +5,42 @@ twice that length and so on up to the window: of each window still in question,
 with the least hash, so equal windows choose alike) is looked for over the corpus, and a window whose run is in one block of documents only
 is settled there. What is left at the last level is compared as whole windows; every occurrence but the earliest is covered.
 
-Documents are dealt to blocks by doc_id once; every level reads the blocks from that one shuffle. A block sends each
-key only once, whatever the number of its occurrences in the block, so that a passage found in a third of all documents
-makes as many rows as there are blocks, not as there are documents.
+Documents are dealt to blocks by doc_id and text once; every level reads the blocks from that one shuffle. A block sends
+each key and each window only once, whatever the number of its occurrences in the block, so that a passage found in a
+third of all documents makes as many rows as there are blocks, not as there are documents. Whole windows are compared by a
+window function over their hashes: sorted and spilled by Spark, never gathered in a Python task.
 
-Windows are told apart by 64-bit polynomial hashes of their words.
+A word's hash is two polynomials of its bytes modulo two primes; a window is known by two 64-bit hashes of its words'
+hashes, 128 bits in all. Levels use the first only: they choose what is compared and remove nothing.
 
 Defined cases: a null or empty text has no words and the digest of the empty string; windows do not cross documents;
-rows that repeat a doc_id count as documents of their own in the order of their texts; a null doc_id comes last; an
-empty table gives an empty result; other columns are not read.
+rows that repeat a doc_id count as documents of their own, ordered by a hash of the text, then by the text; a null doc_id
+comes last; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pgsloom.llm.common import table
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: One number for each byte, from a fixed seed, so that a word's hash is not a plain polynomial of its bytes.
-BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
+#: For the second hash of a window.
+OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Two primes below 2^31 and a base of each.
+PRIMES = ((2**31 - 1, 1_330_147_213), (2**31 - 19, 872_631_407))
+STEP = 1 << 20
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(int(BASE), n, 1 << 64))
+def _power(n: int, base: np.uint64 = BASE) -> np.uint64:
+    return np.uint64(pow(int(base), n, 1 << 64))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -44,7 +50,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@functools.cache
+def powers(prime: int, base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n - 1) modulo the prime, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)))
+    return out[:n]
+
+
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prime: int, base: int) -> np.ndarray:
+    """For each range of at most STEP bytes in all, the polynomial of its bytes, turned down to its own start."""
+    n = np.uint64(prime)
+    # a term is below 2^8 * 2^31 and there are 2^20 of them: no sum overflows
+    sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate((data.astype(np.uint64) + np.uint64(1)) * powers(prime, base, STEP)[: len(data)])))
+    return (sums[ends] - sums[starts]) % n * powers(prime, pow(base, -1, prime), STEP)[starts] % n
+
+
+def _long_word(word: bytes) -> int:
+    """The hash of a word above STEP bytes, where sums of bytes could overflow."""
+    return int.from_bytes(hashlib.sha256(word).digest()[:8], "little")
+
+
+def word_hashes(data: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word of UTF-8 bytes, by running sums of byte values times powers of a base."""
     gap = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
@@ -52,18 +80,14 @@ def word_hashes(data: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.n
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):  # a stretch of whole words at a time
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + step)))
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + step, side="right")))
         low, high = int(starts[at]), int(ends[to - 1])
-        powers = np.full(high - low, BASE)
-        powers[:1] = 1
-        powers = np.multiply.accumulate(powers)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(BYTES[data[low:high]] * powers)))
-        back = np.uint64(pow(int(BASE), -1, 1 << 64))
-        turn = np.full(high - low, back)
-        turn[:1] = 1
-        turn = np.multiply.accumulate(turn)
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = mixed((sums[e] - sums[s]) * turn[s] + (e - s).astype(np.uint64))
+        if high - low > STEP:  # a single word, as a stretch of more is cut to ``step``
+            out[at] = _long_word(data[low:high].tobytes())
+        else:
+            s, e = starts[at:to] - low, ends[at:to] - low
+            one, two = (_polynomials(data[low:high], s, e, *p) for p in PRIMES)
+            out[at:to] = mixed((one << np.uint64(31) | two) + (e - s).astype(np.uint64) * OTHER)
         at = to
     return out, starts, ends
 
@@ -86,28 +110,29 @@ class Doc:
         self.words, self.starts, self.ends = word_hashes(data)
         self.window, self.n = window, max(0, len(self.words) - window + 1)
 
-    def runs(self, length: int) -> np.ndarray:
+    def runs(self, length: int, base: np.uint64 = BASE) -> np.ndarray:
         """Hashes of all runs of ``length`` words, built by doubling where the length is even."""
         if length % 2 == 0:
-            half = self.runs(length // 2)
-            return half[: -(length // 2)] * _power(length // 2) + half[length // 2 :]
+            half = self.runs(length // 2, base)
+            return half[: -(length // 2)] * _power(length // 2, base) + half[length // 2 :]
         out = self.words[: len(self.words) - length + 1].copy()
         for j in range(1, length):
-            out = out * BASE + self.words[j : len(self.words) - length + 1 + j]
+            out = out * base + self.words[j : len(self.words) - length + 1 + j]
         return out
 
     def keys(self, length: int) -> np.ndarray:
         """For each window the least mixed hash of its runs of ``length`` words."""
         return least(mixed(self.runs(length)), self.window - length + 1)
 
-    def whole(self) -> np.ndarray:
-        return mixed(self.runs(self.window))
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each window."""
+        return mixed(self.runs(self.window)), mixed(self.runs(self.window, OTHER))
 
 
 def _sorted_docs(block: pa.Table) -> list[tuple]:
-    """(doc_id, text) of a block in the order that says which document is earlier."""
-    rows = zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist())
-    return sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1] is not None, r[1] or ""))
+    """(doc_id, text, hash of the text) of a block in the order that says which document is earlier."""
+    rows = zip(*[block.column(c).to_pylist() for c in ("doc_id", "text", "th")])
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[2], r[1] is not None, r[1] or ""))
 
 
 def _known(survivors: pa.Table, length: int | None) -> np.ndarray | None:
@@ -123,7 +148,7 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 def level_keys(block: pa.Table, survivors: pa.Table | None, window: int, before: int | None, length: int) -> np.ndarray:
     """The keys of one level in one block, each once."""
     known, found = _known(survivors, before), [np.zeros(0, np.uint64)]
-    for _, text in _sorted_docs(block):
+    for text in block.column("text").to_pylist():
         doc = Doc(text, window)
         if doc.n:
             k = doc.keys(length)
@@ -133,61 +158,49 @@ def level_keys(block: pa.Table, survivors: pa.Table | None, window: int, before:
     return np.unique(np.concatenate(found))
 
 
-def _first_in_block(docs: list[tuple], window: int) -> tuple[list[Doc], np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, the hashes of all windows in order, where each document's windows begin, and which are the first of their kind."""
-    parsed = [Doc(text, window) for _, text in docs]
-    hashes = np.concatenate([np.zeros(0, np.uint64), *[d.whole() for d in parsed if d.n]])
+def firsts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which windows are the first with both of their hashes."""
+    out = np.zeros(len(one), bool)
+    _, at, of = np.unique(one, return_index=True, return_inverse=True)
+    if (two == two[at[of]]).all():  # equal by the first hash: equal by the other, unless there is a collision
+        out[at] = True
+    else:
+        order = np.lexsort((np.arange(len(one)), two, one))
+        out[order] = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
+    return out
+
+
+def _windows(docs: list[tuple], window: int) -> tuple[list[Doc], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, the two hashes of all windows in order, where each document's windows begin, which are the first of their kind."""
+    parsed = [Doc(text, window) for _, text, _ in docs]
+    pairs = [d.whole() for d in parsed if d.n]
+    one, two = (np.concatenate([np.zeros(0, np.uint64), *[p[k] for p in pairs]]) for k in (0, 1))
     offsets = np.concatenate(([0], np.cumsum([d.n for d in parsed], dtype=np.int64)))
-    first = np.zeros(len(hashes), bool)
-    first[np.unique(hashes, return_index=True)[1]] = True
-    return parsed, hashes, offsets, first
+    return parsed, one, two, offsets, firsts(one, two)
 
 
-def window_rows(block: pa.Table, survivors: pa.Table, window: int, length: int) -> Iterator[tuple]:
-    """(key, order, at, hashes): stretches of windows of one key that may repeat elsewhere and are new in the block."""
+def window_rows(block: pa.Table, survivors: pa.Table, window: int, length: int) -> pa.Table:
+    """(one, two, doc_id, th, place, at): windows that may repeat elsewhere and are new in the block."""
     known = _known(survivors, length)
     docs = _sorted_docs(block)
-    parsed, hashes, offsets, first = _first_in_block(docs, window)
-    for i, doc in enumerate(parsed):
-        if not doc.n:
-            continue
-        keys = doc.keys(length)
-        use = _among(keys, known) & first[offsets[i] : offsets[i + 1]]
-        at = np.flatnonzero(use)
-        if not len(at):
-            continue
-        cuts = np.flatnonzero((np.diff(at) != 1) | (keys[at][1:] != keys[at][:-1])) + 1
-        for part in np.split(at, cuts):
-            for j in range(0, len(part), 60):
-                p = part[j : j + 60]
-                yield int(keys[p[0]].view(np.int64)), docs[i][0], i, int(p[0]), hashes[offsets[i] + p].tobytes()
-
-
-def later(part: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
-    """For the stretches of one partition, the stretches and the bits of the windows that also start earlier."""
-    sizes = np.array([len(h) // 8 for h in part["hashes"]], np.int64)
-    hashes = np.frombuffer(b"".join(part["hashes"]), np.uint64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    within = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    none = np.array([d is None for d in part["doc_id"]], bool)
-    ids = np.array([0 if d is None else d for d in part["doc_id"]])
-    place, at = np.array(part["place"], np.int64), np.array(part["at"], np.int64)
-    order = np.lexsort((at[row] + within, place[row], ids[row], none[row], hashes))
-    repeat = np.concatenate(([False], hashes[order][1:] == hashes[order][:-1]))
-    bits = np.zeros(len(sizes), np.int64)
-    np.bitwise_or.at(bits, row[order][repeat], np.int64(1) << within[order][repeat])
-    hit = np.flatnonzero(bits)
-    return hit, bits[hit]
+    parsed, one, two, offsets, first = _windows(docs, window)
+    found = [np.flatnonzero(_among(d.keys(length), known) & first[offsets[i] : offsets[i + 1]]) if d.n else np.zeros(0, np.int64) for i, d in enumerate(parsed)]
+    place = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    at = np.concatenate([np.zeros(0, np.int64), *found])
+    which = offsets[place] + at
+    order = pa.table({"doc_id": pa.array([d for d, _, _ in docs], block.schema.field("doc_id").type), "th": pa.array([h for _, _, h in docs], pa.int64())}).take(pa.array(place))
+    columns = [pa.array(x[which].view(np.int64)) for x in (one, two)] + [order.column(0), order.column(1), pa.array(place, pa.int32()), pa.array(at, pa.int32())]
+    return pa.table(columns, names=["one", "two", "doc_id", "th", "place", "at"])
 
 
 def finish(block: pa.Table, marks: pa.Table, window: int) -> Iterator[tuple]:
     """(doc_id, n_words, n_removed, kept_sha256) for each document of a block, given the windows that start earlier in other blocks."""
     docs = _sorted_docs(block)
-    parsed, _, offsets, first = _first_in_block(docs, window)
+    parsed, _, _, offsets, first = _windows(docs, window)
     covered = ~first
-    for place, at, bits in zip(*[marks.column(c).to_pylist() for c in ("place", "at", "bits")]):
-        lit = np.array([b for b in range(60) if bits >> b & 1])
-        covered[offsets[place] + at + lit] = True
+    if marks.num_rows:
+        place, at = (marks.column(c).to_numpy().astype(np.int64) for c in ("place", "at"))
+        covered[offsets[place] + at] = True
     for i, doc in enumerate(parsed):
         n = len(doc.words)
         gone = np.zeros(n + 1, np.int64)
@@ -208,17 +221,16 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 def substring_dedup(docs: DataFrame, window: int = 20, shortest: int = 5, block_mb: float = 24) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) after words covered by a window that also starts earlier are removed.
 
-    Levels are ``shortest``, twice that, and so on below ``window``. A block holds about ``block_mb`` of text; tasks of
-    the last comparison hold what one shuffle partition gets.
+    Levels are ``shortest``, twice that, and so on below ``window``. A block holds about ``block_mb`` of text.
     """
     levels = [shortest]
     while levels[-1] * 2 < window:
         levels.append(levels[-1] * 2)
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     n_blocks = max(1, round((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (block_mb * 2**20)))
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
+    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "th"), F.lit(n_blocks)).cast("int"))
     dealt = blocks.groupBy("block")
 
     def level(before: int | None, length: int):
@@ -235,24 +247,14 @@ def substring_dedup(docs: DataFrame, window: int = 20, shortest: int = 5, block_
         # a key has one row a block; what only one block has is settled in that block
         survivors, before = rows.withColumn("many", F.expr("count(*) over (partition by key)")).filter("many > 1").select("block", "key"), length
 
-    names, types = ["key", "block", "doc_id", "place", "at", "hashes"], [pa.int64(), pa.int32(), arrow, pa.int32(), pa.int32(), pa.binary()]
-
     def whole(key, left, right):
-        block = key[0].as_py()
-        return _table([(k, block, d, p, a, h) for k, d, p, a, h in window_rows(left, right, window, before)], names, types)
-
-    stretches = dealt.cogroup(survivors.groupBy("block")).applyInArrow(whole, f"key bigint, block int, doc_id {kind}, place int, at int, hashes binary")
-    stretches = stretches.repartition("key")
-
-    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [p for p in parts if p.num_rows]
-        if got:
-            all_rows = pa.Table.from_batches(got)
-            hit, bits = later({c: all_rows.column(c).to_pylist() for c in ("doc_id", "place", "at", "hashes")})
-            taken = all_rows.select(["block", "place", "at"]).take(pa.array(hit))
-            yield from taken.append_column("bits", pa.array(bits)).to_batches()
+        out = window_rows(left, right, window, before)
+        return out.append_column("block", pa.array(np.full(out.num_rows, key[0].as_py() or 0, np.int32)))
 
-    marks = stretches.mapInArrow(compare, "block int, place int, at int, bits bigint")
+    windows = dealt.cogroup(survivors.groupBy("block")).applyInArrow(whole, f"one bigint, two bigint, doc_id {kind}, th bigint, place int, at int, block int")
+    # a window has one row a block: every row but the first in the order of documents starts later than another
+    order = Window.partitionBy("one", "two").orderBy(F.col("doc_id").asc_nulls_last(), "th", "place", "at")
+    marks = windows.withColumn("nth", F.row_number().over(order)).filter("nth > 1").select("block", "place", "at")
 
     def last(key, left, right):
         return _table(list(finish(left, right, window)), ["doc_id", "n_words", "n_removed", "kept_sha256"], [arrow, pa.int64(), pa.int64(), pa.string()])

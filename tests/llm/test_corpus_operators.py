@@ -54,6 +54,27 @@ def test_substring_dedup_cases(spark):
     assert {r["doc_id"]: r["n_removed"] for r in got}[5] == 29  # windows 1 to 10 repeat window 0
 
 
+def test_substring_dedup_tells_like_words_apart(spark):
+    """The doubled alternating sequence and its complement: equal under every polynomial modulo a power of two."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {tail}", "s"), (2, f"{two} {tail}", "s"), (3, f"{two} {tail}", "s")]
+    for block_mb in (24, 0.0005):
+        got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(frame(spark, rows), block_mb=block_mb).collect()}
+        assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_substring_dedup_null_and_text_ids(spark):
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, base if i < 2 else f"{base} more{i}", "s") for i in range(9)] + [(5, base, "s")]
+    for block_mb in (24, 0.0001):
+        got = collections.Counter((r["doc_id"], r["n_removed"]) for r in substring_dedup.substring_dedup(frame(spark, rows), block_mb=block_mb).collect())
+        assert got[(5, 0)] == 1 and got[(None, 30)] == 9  # the new word's windows begin in what repeats
+        named = frame(spark, [(i, t, s) for i, (_, t, s) in enumerate(rows)]).withColumn("doc_id", F.format_string("d%03d", F.col("doc_id")))
+        assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(named, block_mb=block_mb).collect()}["d000"] == 0
+
+
 def test_word_hashes_do_not_depend_on_the_stretch():
     data = np.frombuffer(("aß \t b\r\nc " * 50).encode(), np.uint8)
     whole, *_ = substring_dedup.word_hashes(data)
