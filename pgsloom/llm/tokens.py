@@ -17,12 +17,12 @@ own; an empty file has no documents; an empty table gives an empty result; other
 from __future__ import annotations
 
 import base64
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,33 +34,42 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Places that are an end of a piece under that pattern whatever is around them: before a space or line feed that follows
+#: something else, and where a run of letters or numbers meets ASCII or punctuation of another kind.
+BOUNDARY = regex.compile(r"(?<=\S)(?=[ \n])|(?<=\p{L})(?=[\x00-@\[-`{-\x7f\p{P}])|(?<=\p{N})(?=[\x00-/:-\x7f\p{P}])")
+
+
 class Tokenizer:
-    """A byte-level vocabulary read from a rank file; the first free id ends a document."""
+    """A byte-level vocabulary from the bytes of a rank file; the first free id ends a document."""
 
-    def __init__(self, path: str):
+    def __init__(self, file: bytes):
         import tiktoken
 
-        with open(path) as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
         self.end = max(ranks.values()) + 1
         self.dtype = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None, step: int = 100_000) -> np.ndarray:
-        """Ids of a whole text; very long texts are encoded in stretches that end before a word where there is one."""
+        """Ids of a whole text; a very long one is encoded in stretches that end between two pieces, so no id changes."""
         text, out, at = text or "", [], 0
         while at < len(text):
-            to = len(text)
-            if to - at > step:
-                m = re.compile(r"(?<=\S)(?=[ \n])").search(text, at + step, min(to, at + 2 * step))
-                to = m.start() if m else at + step
+            m = BOUNDARY.search(text, at + step) if len(text) - at > step else None
+            to = m.start() if m else len(text)
             out.append(np.array(self.encoding.encode_ordinary(text[at:to]), self.dtype))
             at = to
         return np.concatenate(out) if out else np.zeros(0, self.dtype)
 
 
+def rank_file(path: str) -> bytes:
+    """The vocabulary file, read on the driver; tasks get its bytes (a few MB) with a broadcast."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Write flat token files, one for each partition, and return (file, ordinal, doc_id) of what is in them."""
+    shared = docs.sparkSession.sparkContext.broadcast({"file": rank_file(tokenizer)})
     id_type = docs.schema["doc_id"].dataType.simpleString()
     fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
 
@@ -68,7 +77,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER) -> Da
         from pyspark import TaskContext
 
         store, path = fs.FileSystem.from_uri(folder)
-        name, code, n = f"part-{TaskContext.get().partitionId():06d}.bin", Tokenizer(tokenizer), 0
+        box = shared.value  # kept by the worker process from task to task
+        code = box["code"] = box.get("code") or Tokenizer(box["file"])
+        name, n = f"part-{TaskContext.get().partitionId():06d}.bin", 0
         own = f"{path}/.{name}.{uuid.uuid4().hex}"
         with store.open_output_stream(own) as out:
             for part in parts:
@@ -117,14 +128,22 @@ def scan_tokens(spark: SparkSession, folder: str, end: int, dtype: str = "<u2",
     return docs.unionByName(tails.select("file", "ordinal", "start", "n_tokens", F.lit(False).alias("ended")))
 
 
-def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens, file, ordinal, start) for each document, from the flat token files of the table."""
-    spark, code = docs.sparkSession, Tokenizer(tokenizer)
+def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, keep_files: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, file, ordinal, start) for each document, from the flat token files of the table.
+
+    The files stay in a folder of their own below the checkpoint folder; without ``keep_files`` they go when the counts
+    are written there. What is in the files is joined to the counts by a sort-merge join, as both grow with the table.
+    """
+    spark, code = docs.sparkSession, Tokenizer(rank_file(tokenizer))
     folder = shared_folder(spark, "tokens")
     manifest = write_tokens(docs, folder, tokenizer)
     counts = scan_tokens(spark, folder, code.end, code.dtype.str)
-    return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
+    out = manifest.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
+    if not keep_files:
+        out = cut(out)
+        remove(spark, folder)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"))
+    return token_counts(table(spark, sf_dir, "documents"), keep_files=False)

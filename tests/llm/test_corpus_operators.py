@@ -403,13 +403,30 @@ def test_decontamination_brute_force(spark):
     assert decontam.clean(frame(spark, CASES), bench.limit(0)).count() == len(CASES)
 
 
+def plain_encoder():
+    """Token ids of a whole text in one call."""
+    code = tokens.Tokenizer(tokens.rank_file(tokens.TOKENIZER))
+    return lambda t: code.encoding.encode_ordinary(t or "")
+
+
 def test_token_counts_round_trip(spark, small):
-    code = tokens.Tokenizer(tokens.TOKENIZER)
+    plain = plain_encoder()
     docs = frame(spark, CASES).repartition(3)
     got = collections.Counter((r["doc_id"], r["n_tokens"]) for r in tokens.token_counts(docs).collect())
-    assert got == collections.Counter((i, len(code.encode(t))) for i, t, _ in CASES)
-    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(small).collect()}
-    assert got == {r["doc_id"]: len(code.encode(r["text"])) for r in small.collect()}
+    assert got == collections.Counter((i, len(plain(t))) for i, t, _ in CASES)
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(small, keep_files=False).collect()}
+    assert got == {r["doc_id"]: len(plain(r["text"])) for r in small.collect()}
+
+
+def test_stretches_change_no_token():
+    plain, code, rnd = plain_encoder(), tokens.Tokenizer(tokens.rank_file(tokens.TOKENIZER)), random.Random(6)
+    alphabet = ["'s", "'re", "'", " ", "  ", "\n", "\t", "a", "Zb", "é", "漢字", "。", "，", "7", "²", "½", "x1", "_", "--", "\u00a0", "\x1c", "😀", "\u0301"]
+    texts = ["".join(rnd.choices(alphabet, k=400)) for _ in range(300)] + ["understanding" * 300, "w" * 2001, "漢字" * 700, "a1" * 500]
+    for t in texts:
+        for step in (1, 7, 50):
+            assert code.encode(t, step).tolist() == plain(t)
+    for t in ("understanding" * 20_000, "w" * 200_001):
+        assert code.encode(t).tolist() == plain(t)
 
 
 @pytest.mark.parametrize("block", [2, 6, 14, 1 << 20])
