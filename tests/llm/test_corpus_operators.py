@@ -380,13 +380,13 @@ def test_myers():
 def test_decontamination_brute_force(spark):
     rnd = random.Random(5)
     text = lambda n: " ".join("".join(rnd.choices("abcde", k=rnd.randint(2, 7))) for _ in range(n))
-    items = [(i, text(20)) for i in range(8)] + [(8, None), (9, "too short")]
+    items = [(i, text(20)) for i in range(8)] + [(8, None), (9, ""), (10, "Ade bce"), (10, "de b")]
     docs = []
     for i in range(40):
         item = list(items[i % 8][1])
         for _ in range(rnd.randint(0, 9)):
             item[rnd.randrange(len(item))] = rnd.choice("abcdexyz ")
-        docs.append((i, (text(30) + "\n" + "".join(item).upper() + " " + text(30)) if i % 3 else text(60), "s"))
+        docs.append((i, (text(30) + "\n" + "".join(item).upper() + " " + text(30)) if i % 3 else text(60) + ("-ade\nBCE." if i % 2 else " ade bcex"), "s"))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     for block in (4_000_000, 300):
         got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.contaminated(frame(spark, docs), bench, block_chars=block).collect()}
@@ -394,12 +394,17 @@ def test_decontamination_brute_force(spark):
         for d, t, _ in docs:
             for i, item in items:
                 item = decontam.normal(item)
-                if len(item) >= 40 and (k := levenshtein(item, decontam.normal(t))) <= int(0.05 * len(item)):
+                if item and len(item) < 40 and re.search(rf"(?<![a-z]){item}(?![a-z])", decontam.normal(t)):
+                    want.add((d, i, 0))
+                elif len(item) >= 40 and (k := levenshtein(item, decontam.normal(t))) <= int(0.05 * len(item)):
                     want.add((d, i, k))
         assert got == want
         left = decontam.clean(frame(spark, docs), bench, block_chars=block)
         assert left.columns == frame(spark, docs).columns and {r["doc_id"] for r in left.collect()} == {d for d, _, _ in docs} - {d for d, _, _ in want}
     assert decontam.contaminated(frame(spark, CASES), bench).count() == 0
+    short = spark.createDataFrame([("a", "Two  three"), (None, "wo"), ("c", "x")], "item_id string, text string")  # ids of another type
+    got = collections.Counter((r["doc_id"], r["item_id"], r["distance"]) for r in decontam.contaminated(frame(spark, CASES), short).collect())
+    assert got == {(1, "a", 0): 1, (4, "a", 0): 2, (5, "c", 0): 1}
     assert decontam.clean(frame(spark, CASES), bench.limit(0)).count() == len(CASES)
 
 
