@@ -451,18 +451,41 @@ def test_separators_across_blocks(spark, tmp_path, block):
 
 
 def test_licences(spark):
-    rows = [(i, f"some words here\n{t}\nand more", "s") for i, t in enumerate(x[0] for x in licences.TEMPLATES.values())]
-    rows += [(50, "He lost his driving licence last year.", "s"), (51, None, "s"), (52, "nothing to see", "s")]
-    got = {r["doc_id"]: r for r in licences.scan(frame(spark, rows)).collect()}
+    rows = [(i, f"Some words here.\n{t}\n\nand more", "s") for i, t in enumerate(x[0] for x in licences.TEMPLATES.values())]
+    rows += [(50, "He lost his driving licence last year.", "s"), (51, None, "s"), (52, "nothing to see", "s"), (53, "Licences, licenses and so on", "s"), (53, "Licences, licenses and so on", "s"), (54, "a " * 200_000 + "Released under the MIT License." + " b" * 100_000, "s")]
+    found = licences.scan(frame(spark, rows)).collect()
+    got = {r["doc_id"]: r for r in found}
     assert {i: got[i]["family"] for i in range(len(licences.TEMPLATES))} == dict(enumerate(licences.TEMPLATES))
     assert all(got[i]["confirmed"] and got[i]["paragraph"] == 1 for i in range(len(licences.TEMPLATES)))
     assert got[50]["family"] == "unknown" and not got[50]["confirmed"] and 51 not in got and 52 not in got
+    assert [r["family"] for r in found if r["doc_id"] == 53] == ["unknown"] * 2  # a licence word by itself is reported, for each row
+    assert got[54]["family"] == "mit" and got[54]["confirmed"]
     held = licences.samples(24, seed=99)
     frame_2 = frame(spark, [(i, t, "s") for i, (_, t) in enumerate(held)])
     predicted = {r["doc_id"]: r["family"] for r in licences.scan(frame_2).collect()}
     assert np.mean([predicted.get(i, "unknown") == f for i, (f, _) in enumerate(held)]) > 0.9
 
 
+#: Notices as they stand in source files, wrapped and behind comment marks; none is made by the training rule.
+NOTICES = {
+    "apache-2.0": ["/*\n * Copyright 2019 Some Body\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\nint main;", "# Licensed under the\n# Apache License, Version 2.0.\nimport os"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell.", "// This project is\n// licensed under the MIT license.\n\ncode"],
+    "bsd": ["# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n#\n# * Redistributions of source code must retain the notice."],
+    "gpl": ["-- This program is free software: you can redistribute it and/or modify\n-- it under the terms of the GNU General Public License as published by\n-- the Free Software Foundation, either version 3 of the License, or\n-- (at your option) any later version.", "This work is licensed under\nthe GNU General Public License,\nversion 3."],
+    "lgpl": ["This library is licensed\r\nunder the GNU Lesser General Public\r\nLicense, version 2.1."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."],
+}
+PLAIN = ["The city renewed the\nlicense of the taxi driver.", "Copyright questions\nare for lawyers.", "She asked for permission to leave", "The licensed guide\nshowed us the general plan.\nIt was public.", "Software is eating the world."]
+
+
+def test_licences_wrapped_in_comments(spark):
+    labelled = [(f, t) for f, texts in NOTICES.items() for t in texts] + [("unknown", t) for t in PLAIN]
+    found = licences.scan(frame(spark, [(i, t, "s") for i, (_, t) in enumerate(labelled)])).collect()
+    for i, (family, text) in enumerate(labelled):
+        own = [(r["family"], r["confirmed"]) for r in found if r["doc_id"] == i and r["family"] != "unknown"]
+        assert ((family, True) in own and {f for f, sure in own if sure} == {family}) if family != "unknown" else not own, (text, own)
+
+
 @pytest.mark.parametrize("name", ["substring", "exact", "simhash", "mixing", "quality", "secrets", "decontam", "tokens", "licences", "near", "html"])
 def test_empty_tables(spark, name):
     empty = frame(spark, [])
