@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -352,12 +353,59 @@ def test_html():
     assert [html_text.main_text(p) for p in (None, "", "<p>a</p><p>b c</p>", "<script>x", "just text")] == ["", "", "a\nb c", "", "just text"]
 
 
+def article(page):
+    """The text of a page's article element, by plain patterns."""
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    lines = [" ".join(html_text.html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"<(?:/?p|br|/?h1)>", inner)]
+    return "\n".join(x for x in lines if x)
+
+
 def test_html_pages(spark):
     rows = html_text.query(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"), "page_id").collect()
-    for r in rows:
-        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
-        lines = [" ".join(html_text.html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"<(?:/?p|br|/?h1)>", inner)]
-        assert r["text"] == "\n".join(x for x in lines if x) and r["n_chars"] == len(r["text"])
+    assert all(r["text"] == article(r["html"]) and r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_tag_paths_find_the_text_without_names(spark, monkeypatch):
+    """Pages without article, class, id and role; then without nav, footer, header and aside too: paths alone decide."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub(r'\s(class|id|role)="[^"]*"', "", p) for p in pages]
+    some = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in bare]
+    none = [re.sub(r"<(/?)(article|main|nav|footer|header|aside)\b", r"<\1div", p) for p in bare]
+    wrong = lambda changed: sum(html_text.main_text(c) != article(p) for c, p in zip(changed, pages))
+    by_paths = wrong(none)
+    assert wrong(pages) == 0 and wrong(some) <= 0.02 * len(pages) and by_paths <= 0.04 * len(pages)
+    monkeypatch.setattr(html_text, "content", lambda found: np.ones(len(found)))
+    assert wrong(none) > 3 * by_paths  # the ratios switched off
+
+
+def test_html_attributes_and_odd_elements():
+    kept = {
+        '<article style="overflow:hidden"><p>a</p></article>': "a", '<article><p title="hidden gems">a</p></article>': "a", '<article><p data-hidden="false">a</p></article>': "a",
+        '<article><p id="reply-from-mayor">a</p></article>': "a", "<article><p>let <math><mi>x</mi></math> be</p></article>": "let x be", "<article><svg><text>a</text></svg><p>b</p></article>": "a\nb",
+        "<article><p>a</p><svg><path d='1'><p>b</p></article>": "a\nb", "<article><noscript><p>a</p></noscript><p>b</p></article>": "a\nb", "<article><p>a</p><script>var x = 1;<p>b</p></article>": "a\nb",
+        "<article><p>a<![CDATA[ < b]]></p></article>": "a < b", "<article><p>a</p><p hidden>b</p><p class='adBanner'>c</p><p class='comment-list'>d</p><p class=comment>e</p><p class='comment-mayor'>f</p></article>": "a\nf",
+        "<body><h1>Title</h1><p>One sentence, and another one. It goes on here, for a while.</p><p>And so on.</p></body>": "Title\nOne sentence, and another one. It goes on here, for a while.\nAnd so on.",
+    }
+    assert {p: html_text.main_text(p) for p in kept} == kept
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<div>", "<p><b>", "<b><h1>", "<li>", "<ul><li>", "<i></b>", "</div>", "<td>", "<![CDATA[x]]>", "<!-- -->", "<script>", "a &amp; "])
+def test_html_time_is_in_proportion(piece):
+    def seconds(n):
+        page, began = "<article><p>one, two.</p>" + (piece + "word ") * n + "</article>", time.perf_counter()
+        text = html_text.main_text(page)
+        return time.perf_counter() - began, text
+
+    assert "one, two." in seconds(2_000)[1]
+    assert seconds(100_000)[0] < 100 * max(0.02, seconds(5_000)[0])  # 20 times the page; a square would be 400
+
+
+def test_html_cases(spark):
+    rows = [(1, "u", PAGE, "x", 3), (1, "u", PAGE, "x", 3), (None, None, PAGE, None, None), (2, "u", None, "x", 1), (3, "u", "<p>" + "word " * 400_000, "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")
+    got = html_text.extract(pages).collect()
+    assert len(got) == 5 and len({r["text"] for r in got if r["page_id"] in (1, None)}) == 1
+    assert {r["page_id"]: r["n_chars"] for r in got if r["page_id"] in (2, 3)} == {2: 0, 3: 400_000 * 5 - 1}
 
 
 def levenshtein(pattern, text):
