@@ -69,6 +69,20 @@ def ranked(df: DataFrame, group: list[str], order: Column, ties: list[str], out:
     return df.join(totals, same).withColumn(out, F.col("__at") + F.col("__in")).drop("__h", "__b", "__in", "__at", "__gb", *[f"__g{i}" for i in range(len(group))])
 
 
+def running(df: DataFrame, group: list[str], at: str, amount: str, out: str, width: int = 10_000) -> DataFrame:
+    """Add ``out``: the sum of ``amount`` over the rows of a group before this one by ``at``, a number from 0 without ties.
+
+    Ranges of ``width`` numbers are one window each and are stitched by the totals before them.
+    """
+    df = df.withColumn("__b", F.expr(f"`{at}` div {width}"))
+    totals = df.groupBy(*group, "__b").agg(F.sum(amount).alias("__t"))
+    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__at"))
+    inside = Window.partitionBy(*group, "__b").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__in", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return df.join(totals, [*group, "__b"]).withColumn(out, F.col("__at") + F.col("__in")).drop("__b", "__in", "__at")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the links (a, b): root is the smallest node that it can reach.
 

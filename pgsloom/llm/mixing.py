@@ -5,9 +5,11 @@ For each output shard the number of blocks of each source is drawn (multinomial:
 then settled so that every source gets exactly its number of blocks: draws beyond it go to sources that lack some.
 The j-th draw of a source takes block ``perm(j mod blocks)`` of the epoch ``j div blocks``, each epoch with a
 pseudorandom permutation of its own (rank by a keyed hash), and blocks are joined by index. Only DataFrame operations.
+Places of documents, blocks and shards come from prefix scans over ranges; only windows over the table of sources, one
+row each, are in one task.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, ordered last;
-repeated rows and null doc_ids are documents of their own; an empty table gives an empty result; no other column is read.
+repeated rows and null doc_ids are documents of their own; documents whose key and size tie are in the order of their rows; an empty table gives an empty result; no other column is read.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pgsloom.llm.common import cut, ranked, table, word_count
+from pgsloom.llm.common import cut, ranked, running, table, word_count
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -85,11 +87,10 @@ def draws(by: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
     got = slots.join(ends, "cell").filter("u >= p and (u < q or q >= 1)").groupBy("shard", "s").agg(F.count("*").alias("n"))
     got = cut(got)
     # settle: of each source the draws up to its quota count; the others go, in order, to the sources that lack some
-    so_far = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    got = got.join(by.select("s", "quota"), "s").withColumn("from", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+    got = running(got, ["s"], "shard", "n", "from").join(by.select("s", "quota"), "s")
     got = got.withColumn("keep", F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("from"))))
     over = got.groupBy("shard").agg(F.sum(F.col("n") - F.col("keep")).alias("over")).filter("over > 0")
-    over = over.withColumn("at", F.coalesce(F.sum("over").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    over = running(over, [], "shard", "over", "at")
     over = over.select("shard", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("over") - 1)).alias("k"))
     lack = by.join(got.groupBy("s").agg(F.sum("n").alias("drawn")), "s", "left").withColumn("have", F.least("quota", F.coalesce("drawn", F.lit(0)))).filter("quota > have")
     lack = lack.withColumn("at", F.coalesce(F.sum(F.col("quota") - F.col("have")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

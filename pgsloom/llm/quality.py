@@ -1,17 +1,19 @@
 """Quality classifier by positive-unlabelled learning with a non-negative risk.
 
-Trusted positives are the documents labelled good; the rest of the web text is unlabelled. The share of good documents
-among the unlabelled is estimated first: a classifier of positives against unlabelled text ranks a second half of the
-sample, and the least ratio of unlabelled to positive mass above a rank bounds the share. A small network is then fitted
-to the unbiased risk ``p R+(pos) + (R-(unl) - p R-(pos))`` whose bracket may not fall below zero.
+Trusted positives are the documents labelled good; web text without a label is unlabelled. The share of good documents
+among the unlabelled is estimated first: a classifier of positives against unlabelled text, fitted on one half of the
+samples, ranks the other positives and every unlabelled document of the table, and the least ratio of unlabelled to positive
+mass above a rank bounds the share. A small network is then fitted to the unbiased risk
+``p R+(pos) + (R-(unl) - p R-(pos))`` whose bracket may not fall below zero.
 
 Features come from the whole text: shares of byte classes, words, lines, repetition. They never see doc_id, lang,
 source or labels. The fit uses at most ``sample`` documents of each kind (the ones with the least hash of their id);
-scoring covers every document.
+the class prior is counted over all, and scoring covers every document. Where fewer than ``few`` documents lack a label,
+all documents serve as the unlabelled text, whatever their label says.
 
 Defined cases: a null text counts as empty and is scored like one; a null doc_id counts as the text ''; a document
-labelled twice is a positive only if no label says otherwise; without positives or unlabelled text every score is 0.5;
-an empty table gives an empty result; other columns are not read.
+labelled twice is a positive only if no label says otherwise; rows that repeat are scored alike, and count as often as they
+stand there; without positives every score is 0.5; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pgsloom.llm.common import table
+from pgsloom.llm.common import cut, table
 
 #: Classes of bytes, one feature each.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\x0b\x0c\r", "\n", ".,;:", "!", "?", "#$%&*@^~", "|", "<>{}[]()", "=+/\\_-", "\"'`")
@@ -119,22 +121,32 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int =
     return Network(mean, scale, weights)
 
 
-def class_prior(pos: np.ndarray, unl: np.ndarray, least: float = 0.25) -> float:
-    """Upper bound of the share of positives among unlabelled rows, from a ranking learned on other rows."""
+def cuts(ranker: Network, pos: np.ndarray, least: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
+    """Scores at which to compare, and the share of positives above each; the ranker has not seen these positives."""
+    p = ranker.score(pos)
+    at = np.quantile(p, np.linspace(0, 1 - least, 40))
+    return at, np.array([(p >= c).mean() for c in at])
+
+
+def bound(above: np.ndarray, positives: np.ndarray) -> float:
+    """Upper bound of the share of positives among rows of which these shares are above the cuts."""
+    return float(np.clip((above / positives).min(), 0.02, 0.98))
+
+
+def class_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """Upper bound of the share of positives among unlabelled rows, from a ranking learned on the other half of them."""
     ranker = _train(pos[::2], unl[::2], None)
-    p, u = np.sort(ranker.score(pos[1::2])), np.sort(ranker.score(unl[1::2]))
-    if not len(p) or not len(u):
-        return 0.5
-    cuts = np.quantile(p, np.linspace(0, 1 - least, 40))
-    ratio = [(u >= c).mean() / (p >= c).mean() for c in cuts]
-    return float(np.clip(min(ratio), 0.02, 0.98))
+    at, positives = cuts(ranker, pos[1::2])
+    u = ranker.score(unl[1::2])
+    return bound(np.array([(u >= c).mean() for c in at]), positives)
 
 
-def fit(pos: np.ndarray, unl: np.ndarray) -> Network:
-    if len(pos) < 4 or len(unl) < 4:
-        k = len(CLASSES) + 11
-        return Network(np.zeros(k), np.ones(k), [np.zeros((k, 1)), np.zeros(1), np.zeros(1), np.zeros(1)])
-    prior = class_prior(pos, unl)
+def untrained() -> Network:
+    k = len(CLASSES) + 11
+    return Network(np.zeros(k), np.ones(k), [np.zeros((k, 1)), np.zeros(1), np.zeros(1), np.zeros(1)])
+
+
+def fit(pos: np.ndarray, unl: np.ndarray, prior: float) -> Network:
     net = _train(pos, unl, prior)
     net.prior = prior
     return net
@@ -144,39 +156,62 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 8_000) -> Network:
-    """Fit on at most ``sample`` positives and as many unlabelled documents, none of them held out."""
-    of = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    of = of.filter(remainder(F.col("doc_id")) != 0)
-    ids = docs.select("doc_id").filter("doc_id is not null").filter(remainder(F.col("doc_id")) != 0)
-    some = [F.xxhash64(F.lit(3), "doc_id"), "doc_id"]
-    pos = of.filter("q = 1").select("doc_id").join(ids.distinct(), "doc_id", "left_semi").orderBy(*some).limit(sample)
-    unl = ids.distinct().join(labels.filter("quality is not null").select("doc_id"), "doc_id", "left_anti").orderBy(*some).limit(sample)
-    # at most twice ``sample`` ids: sent to every task
-    chosen = pos.withColumn("kind", F.lit(1)).unionByName(unl.withColumn("kind", F.lit(0)))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the features of every whole text, written once."""
 
     @F.pandas_udf("array<double>")
     def of_text(text: pd.Series) -> pd.Series:
         return pd.Series(list(matrix(text)))
 
-    got = sorted((r["kind"], r["doc_id"], tuple(r["x"])) for r in texts.select("kind", "doc_id", of_text("text").alias("x")).collect())
-    pos, unl = (np.array([x for k, _, x in got if k == kind]) for kind in (1, 0))
-    return fit(pos, unl)
+    return cut(docs.select("doc_id", of_text("text").alias("x")))
+
+
+def learn(found: DataFrame, labels: DataFrame, sample: int = 8_000, few: int = 200) -> Network:
+    """Fit on at most ``sample`` positives and as many unlabelled rows of described documents, none of them held out."""
+    of = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    rows = found.filter("doc_id is not null").filter(remainder(F.col("doc_id")) != 0)
+    unlabelled = rows.join(of, "doc_id", "left_anti")
+    if unlabelled.limit(few).count() < few:
+        unlabelled = rows
+    some = [F.xxhash64(F.lit(3), "doc_id"), "doc_id"]
+
+    def least(df: DataFrame) -> list:
+        return df.dropDuplicates(["doc_id"]).orderBy(*some).limit(sample).collect()
+
+    pos = least(rows.join(of.filter("q = 1").select("doc_id"), "doc_id", "left_semi"))
+    unl = least(unlabelled)
+    if len(pos) < 4 or len(unl) < 4:
+        return untrained()
+    xp, xu = (np.array([r["x"] for r in x]) for x in (pos, unl))
+    ranker = _train(xp[::2], xu[::2], None)
+    at, positives = cuts(ranker, xp[1::2])
+    # at most half of ``sample`` ids: all other unlabelled documents are counted
+    seen = docs_of(found, [r["doc_id"] for r in unl[::2]])
+    rest = unlabelled.join(F.broadcast(seen), "doc_id", "left_anti").select(scored(ranker, F.col("x"), described=True).alias("score"))
+    counts = rest.agg(F.count("*").alias("n"), *[F.count(F.when(F.col("score") >= float(c), 1)).alias(f"c{i}") for i, c in enumerate(at)]).first()
+    above = np.array(counts[1:]) / max(1, counts["n"])
+    return fit(xp, xu, bound(above, positives) if counts["n"] else 0.5)
+
+
+def docs_of(found: DataFrame, ids: list) -> DataFrame:
+    return found.sparkSession.createDataFrame([(i,) for i in ids], found.select("doc_id").schema)
+
 
+def scored(net: Network, column: Column, described: bool = False) -> Column:
+    """The score of a column of texts, or of features."""
 
-def scored(net: Network, text: Column) -> Column:
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(net.score(matrix(text)))
+    def score(values: pd.Series) -> pd.Series:
+        return pd.Series(net.score(np.array(values.tolist()).reshape(len(values), -1) if described else matrix(values)))
 
-    return score(text)
+    return score(column)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 8_000) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each document."""
-    net = learn(docs, labels, sample)
-    out = docs.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), scored(net, F.col("text")).alias("score"))
+    found = described(docs)
+    net = learn(found, labels, sample)
+    out = found.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), scored(net, F.col("x"), described=True).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 

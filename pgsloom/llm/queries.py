@@ -16,4 +16,4 @@ QUERIES = {
     "op9_licences": licences.query,
     "op10_mixing": mixing.query,
 }
-SQL = {"op4_exact_dedup": exact_dedup.SQL}
+SQL = {"op2_substring_dedup": substring_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL}

@@ -264,3 +264,15 @@ def substring_dedup(docs: DataFrame, window: int = 20, shortest: int = 5, block_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+k as (select doc_id, i, array_to_string(list_slice(ws, i, i + 19), ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from w)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as nth from k) where nth > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as j from later),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from w),
+left_over as (select words.doc_id, count(*) as n, string_agg(word, ' ' order by words.j) as kept from words anti join gone on words.doc_id = gone.doc_id and words.j = gone.j group by words.doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join left_over on w.doc_id = left_over.doc_id
+"""

@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -49,6 +51,14 @@ def test_substring_dedup_brute_force(spark):
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
 
 
+def test_substring_dedup_sql(spark, small):
+    duck = duckdb.connect()
+    duck.sql("create view documents as select * from read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    want = duck.sql(substring_dedup.SQL)
+    got = substring_dedup.substring_dedup(small, block_mb=0.02)
+    assert want.columns == got.columns and sorted(want.fetchall()) == sorted(tuple(r) for r in got.collect())
+
+
 def test_substring_dedup_cases(spark):
     got = substring_dedup.substring_dedup(frame(spark, CASES)).collect()
     assert len(got) == len(CASES)
@@ -265,6 +275,14 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_running_sums_over_ranges(spark):
+    from pgsloom.llm.common import running
+
+    rows = [(g, at, at % 7) for g in "ab" for at in range(0, 500, 3 if g == "a" else 50)]
+    got = running(spark.createDataFrame(rows, "g string, at bigint, n bigint"), ["g"], "at", "n", "before", width=64).collect()
+    assert {(r["g"], r["at"]): r["before"] for r in got} == {(g, at): sum(n for h, x, n in rows if h == g and x < at) for g, at, _ in rows}
+
+
 def test_mixing(spark):
     rnd = random.Random(4)
     rows = [(i, " ".join("w" * rnd.randint(0, 400)), rnd.choice(["a", "b", "c", None])) for i in range(300)]
@@ -304,11 +322,32 @@ def test_quality(spark):
     got = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.95
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
-    net = quality.learn(docs, labels.filter("quality = 3"))
+    net = quality.learn(quality.described(docs), labels.filter("quality = 3"))
     assert [r["score"] for r in docs.limit(3).select(quality.scored(net, F.col("text")).alias("score")).collect()] == [0.5] * 3
     assert quality.classify(frame(spark, CASES), labels).count() == len(CASES)
 
 
+def test_quality_holds_out_and_scores_whole_texts(spark):
+    """held_out by crc32 in Python; the two ways to score agree; labels of held-out rows change nothing."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    net = quality.learn(quality.described(docs), labels)
+    again = {r["doc_id"]: r["score"] for r in docs.select("doc_id", quality.scored(net, F.col("text")).alias("score")).collect()}
+    assert all(abs(again[i] - r["score"]) < 1e-9 for i, r in got.items())
+    turned = labels.withColumn("quality", F.when(quality.remainder(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert {r["doc_id"]: r["score"] for r in quality.classify(docs, turned).collect()} == {i: r["score"] for i, r in got.items()}
+
+
+def test_quality_where_every_document_is_labelled(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = quality.classify(some, labels).join(labels, "doc_id").filter("held_out").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.9
+
+
 def test_class_prior_is_estimated():
     rng = np.random.default_rng(1)
     k = len(quality.CLASSES) + 11
