@@ -7,19 +7,16 @@ the words that the mix takes of it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pgsloom.llm import decontam, exact_dedup, mixing, quality, simhash
-from pgsloom.llm.common import table
-from pgsloom.llm.tokens import shared_folder
+from pgsloom.llm.common import shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    net = quality.learn(docs, table(spark, sf_dir, "labels"))
+    net = quality.learn(quality.described(docs), table(spark, sf_dir, "labels"))
     return docs.filter(quality.scored(net, F.col("text")) >= 0.3)
 
 
@@ -52,7 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = shared_folder(spark, f"pipeline-{uuid.uuid4().hex}")
+    folder = shared_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
