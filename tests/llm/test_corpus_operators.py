@@ -371,6 +371,50 @@ def test_secrets(spark):
     assert not any(model.score(s) > model.threshold for s in secrets.identifiers(500, seed=78))
 
 
+def brute_base(text):
+    """Kinds, starts and ends by trying every place from the left."""
+    assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?P<v>[A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = []
+    for rank, (kind, pattern, good) in enumerate((("assign", assign, lambda m: len(m["v"]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24))):
+        at = 0
+        while at < len(text):
+            m = pattern.match(text, at)
+            if m and good(m):
+                out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+            at = m.end() if m else at + 1
+    return [x for _, _, x in sorted(out)]
+
+
+def test_base_spans_brute_force(spark, small):
+    rnd = random.Random(13)
+    bits = ["password", "PassWd", "api_key", "APIKEY", "secret", "token", "'", '"', " ", "  ", ":", "=", "AKIA", "ABCDEFGH1234", "abcdef0123", "0123456789abcdef01234567", "-x/y+", "é", "ſ", "\n", "\t", "K"]
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(1, 25))) for _ in range(400)] + [r["text"] for r in small.limit(60).collect()] + ["password=" + "a1" * 100_000]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(1000, None, "s"), (None, "token=abcdef", "s"), (None, "token=abcdef", "s")])
+    found = secrets.scan(docs, secrets.train(docs)).collect()
+    got = {r["doc_id"]: r for r in found}
+    for i, t in enumerate(texts):
+        want = brute_base(t)
+        assert [x for x in got[i]["spans"].split(",") if x and not x.startswith("markov")] == want
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert tuple(got[i][f"n_{k}"] for k in ("assign", "access", "hex")) == tuple(sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex"))
+    assert sum(r["doc_id"] is None and r["n_assign"] == 1 for r in found) == 2 and got[1000]["spans"] == ""
+
+
+def test_keys_planted_in_real_texts(spark):
+    """Precision and recall of the added spans on the texts of the tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, texts, rnd = secrets.train(docs), [r["text"] for r in docs.select("text").collect()], random.Random(17)
+    assert sum(k == "markov" for t in texts for _, _, k in model.spans(t)) == 0  # nothing is planted there but what the patterns find
+    for alphabet in (secrets.string.ascii_letters + secrets.string.digits, "0123456789ABCDEF", secrets.string.ascii_lowercase, secrets.string.ascii_letters + "0123456789-_"):
+        hit = 0
+        for t in rnd.sample(texts, 100):
+            key, words = "".join(rnd.choices(alphabet, k=rnd.randint(20, 64))), t.split(" ")
+            words.insert(rnd.randrange(len(words) + 1), key)
+            text = " ".join(words)
+            hit += any(key in text[a:b] for a, b, _ in model.spans(text))
+        assert hit >= 97
+
+
 def test_bare_keys_in_documents_do_not_lift_the_threshold(spark):
     rnd, letters = random.Random(3), secrets.string.ascii_letters + secrets.string.digits
     rows = [(i, "the garden was quiet and nobody came by before evening", "s") for i in range(20)]
