@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pgsloom.llm.common import components, cut, table
@@ -132,9 +132,14 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("node"), "doc_id", "text")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets of word shingles have at least this Jaccard similarity."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def similar(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, few: int = 4_000_000) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of word shingles have at least this Jaccard similarity.
+
+    The nodes in question are sent to the texts if there are at most ``few`` (8 bytes each), else the texts are shuffled to them.
+    """
+    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    if wanted.count() <= few:
+        wanted = F.broadcast(wanted)
     texts = _nodes(docs).select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,29 +164,43 @@ def parities(hashes: np.ndarray) -> list[int]:
 
 
 def _common(docs: DataFrame, width: int, similarity: float, often: int = 20, most: int = 100_000) -> np.ndarray:
-    """Shingles that many documents have among their first by hash, sorted: at most ``most``, the commonest."""
+    """Shingles that many documents have among their first by hash, sorted: at most ``most``, the commonest.
+
+    A task sends the shingles that it sees more than once. Which ones are called common changes the work, not the result.
+    """
 
     def firsts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for part in parts:
             owns = [np.sort(shingle_hashes(t.as_py(), width)) for t in part.column(0)]
             first = [x[: prefix_length(len(x), similarity)] for x in owns]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first) if first else [], pa.int64())], names=["key"])
-
-    counts = docs.select("text").mapInArrow(firsts, "key bigint").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > often)
+            both = np.concatenate([keys, *first])
+            weights = np.concatenate([counts, np.ones(len(both) - len(keys), np.int64)])
+            keys, at = np.unique(both, return_inverse=True)
+            counts = np.bincount(at, weights, minlength=len(keys)).astype(np.int64)
+        seen = counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array(keys[seen]), pa.array(counts[seen])], names=["key", "n"])
+
+    counts = docs.select("text").mapInArrow(firsts, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > often)
     return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(most).collect()], np.int64))
 
 
-def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, rounds: int = 6, lowest: int = 4) -> DataFrame:
+#: One salt for each round: the least of ``node ^ salt`` picks a node, and turning it back gives the node.
+SALTS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD)
+
+
+def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, lowest: int = 4) -> DataFrame:
     """(node, doc_id, stays) for documents in groups linked by five-word shingle similarity; one of each group stays.
 
     First come the SimHash links of this module, over shingles of this width: documents of one component are compared
-    with a few of it (the least by each of ``rounds`` hashes), and so are documents that share one of their ``lowest``
-    least shingle hashes. This joins a large group of near copies by few links and decides nothing else, as a similarity
+    with a few of it (the least under each of ``SALTS``), and so are documents that share one of their ``lowest`` least
+    shingle hashes. This joins a large group of near copies by few links and decides nothing else, as a similarity
     of 0.8 turns about ten of 64 bits and no index of one-wildcard keys reaches that far. So all pairs that are not yet in
     one group and may have the similarity are then found by the prefix filter: in an order that all documents share
     (common shingles last, then by hash), similar sets have an element in common among their first fifth and one. A pair
     goes only where it cannot be similar: by the sizes, by the places of the shared shingle, or because the parity bits
-    differ in more places than the sets may. What is left is compared by the exact sets, so no pair is lost.
+    differ in more places than the sets may. What is left is compared by the exact sets, so no pair is lost. The documents
+    of a shingle's largest group are not paired with each other, so a group that holds much of the table costs its size.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, width, similarity))
@@ -198,7 +217,9 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (bits, low, first)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), *lists], names=["node", "doc_id", "n", "fp", "bits", "low", "first"])
 
-    found = cut(_nodes(docs).mapInArrow(described, f"node bigint, doc_id {id_type}, n bigint, fp bigint, bits array<bigint>, low array<bigint>, first array<bigint>").dropDuplicates(["node"]))
+    # rows that repeat are one node and stay beside each other here: no step pairs a node with itself
+    found = cut(_nodes(docs).mapInArrow(described, f"node bigint, doc_id {id_type}, n bigint, fp bigint, bits array<bigint>, low array<bigint>, first array<bigint>"))
+    sketch = found.select("node", F.struct("n", "bits").alias("sketch")).dropDuplicates(["node"])
 
     def possible(p: str, q: str) -> Column:
         """Neither the sizes nor the parity bits of two documents rule the similarity out."""
@@ -206,28 +227,40 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, ro
         sizes = F.least(f"{p}.n", f"{q}.n") >= similarity * F.greatest(f"{p}.n", f"{q}.n") - 1e-6
         return sizes & (F.expr(differ) <= (1 - similarity) / (1 + similarity) * (F.col(f"{p}.n") + F.col(f"{q}.n")) + 1e-6)
 
+    def described_pairs(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b), each once, that the sketches let through."""
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(sketch.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}")), side)
+        return cut(pairs.filter(possible("sa", "sb")).select("a", "b"))
+
     alike = components(cut(links(found.select("fp").distinct()))).select(F.col("node").alias("fp"), F.xxhash64(F.lit("component"), "root").alias("component"))
     own = F.array_compact(F.array_append("low", F.coalesce("component", F.xxhash64(F.lit("component"), "fp"))))
-    whole = found.join(alike, "fp", "left").select(F.struct("node", "n", "bits").alias("one"), F.explode(own).alias("key"))
-    least = [F.min(F.struct(F.xxhash64("one.node", F.lit(r)).alias("h"), F.col("one").alias("one")))["one"].alias(f"r{r}") for r in range(rounds)]
-    some = whole.groupBy("key").agg(F.count("*").alias("n"), *least).filter("n > 1").select("key", F.array_distinct(F.array(*[f"r{r}" for r in range(rounds)])).alias("some"))
-    stars = whole.join(some, "key").select("one", F.explode("some").alias("other")).filter((F.col("one.node") != F.col("other.node")) & possible("one", "other"))
-    pairs = cut(stars.select(F.greatest("one.node", "other.node").alias("a"), F.least("one.node", "other.node").alias("b")).distinct())
+    whole = found.join(alike, "fp", "left").select("node", F.explode(own).alias("key"))
+    least = [F.min(F.expr(f"node ^ {salt}L")).alias(f"r{i}") for i, salt in enumerate(SALTS)]
+    some = whole.groupBy("key").agg(F.count("*").alias("n"), *least).filter("n > 1")
+    some = some.select("key", F.array_distinct(F.array(*[F.expr(f"r{i} ^ {salt}L") for i, salt in enumerate(SALTS)])).alias("some"))
+    pairs = described_pairs(whole.join(some, "key").select(F.col("node").alias("a"), F.explode("some").alias("b")))
     links_1 = similar(docs, pairs, width, similarity)
-    grouped = cut(found.join(components(links_1), "node", "left").select("node", "n", "bits", "first", F.coalesce("root", "node").alias("group")))
-
-    index = grouped.select("node", "group", F.posexplode("first").alias("at", "key"))
-    mixed = index.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key")
-    index = cut(index.join(mixed, "key", "left_semi").select("key", "node", "at"))
-    index = index.join(grouped.drop("first"), "node").select("key", F.struct("node", "group", "n", "at", "bits").alias("one"))
+    groups = cut(components(links_1))
+
+    index = found.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("group"), F.posexplode("first").alias("at", "key"))
+    by_key = Window.partitionBy("key")
+    index = index.withColumn("low", F.min("group").over(by_key)).withColumn("high", F.max("group").over(by_key)).filter("low <> high")
+    index = cut(index.select("key", "node", "group", "at"))
+    counts = index.groupBy("key", "group").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("largest"))
+    index = index.join(sketch, "node").join(largest, "key").select("key", F.struct("node", "group", "at", "sketch.n", "sketch.bits").alias("one"), "largest")
     # no more than the shared shingle and all after it can be common, if it is the first that the two share
     rest = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at")) >= similarity / (1 + similarity) * (F.col("p.n") + F.col("q.n")) - 1e-6
-    apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.group") != F.col("q.group")) & rest & possible("p", "q")
-    more = index.withColumnRenamed("one", "p").join(index.withColumnRenamed("one", "q"), "key").filter(apart)
-    more = more.select(F.col("q.node").alias("a"), F.col("p.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")  # the first step has compared those
+    # p: any document, q: one outside the key's largest group; two of those are paired once
+    once = (F.col("p.group") == F.col("largest")) | (F.col("p.node") < F.col("q.node"))
+    apart = (F.col("p.group") != F.col("q.group")) & once & rest & possible("p", "q")
+    more = index.withColumnRenamed("one", "p").join(index.filter("one.group <> largest").select("key", F.col("one").alias("q")), "key").filter(apart)
+    more = more.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")  # the first step has compared those
     links_2 = similar(docs, cut(more), width, similarity)
     roots = components(links_1.unionByName(links_2))
-    named = found.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    named = found.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("node").alias("best"))).alias("m"))
     return named.join(best, "root").select("node", "doc_id", (F.col("node") == F.col("m.best")).alias("stays"))
 

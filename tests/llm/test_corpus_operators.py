@@ -258,6 +258,18 @@ def test_near_stage_on_a_crowd(spark, edits):
     assert got == want
 
 
+def test_similar_by_either_join(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i, i + 100)), "s") for i in range(0, 60, 3)]
+    docs = frame(spark, rows)
+    node = {r["doc_id"]: r["node"] for r in simhash._nodes(docs).collect()}
+    pairs = [(node[a], node[b]) for a in node for b in node if node[a] > node[b]]
+    sets = {node[i]: set(simhash.shingle_hashes(t, 5).tolist()) for i, t, _ in rows}
+    want = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    for few in (0, 1000):
+        got = simhash.similar(docs, spark.createDataFrame(pairs, "a bigint, b bigint"), 5, 0.8, few).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want) > 10
+
+
 def test_permuted_words_make_no_pairs(spark, monkeypatch):
     rnd, seen, similar = random.Random(8), [], simhash.similar
     words = [f"w{i}" for i in range(200)]
