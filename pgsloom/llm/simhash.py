@@ -137,21 +137,36 @@ def similar(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, fe
 
     The nodes in question are sent to the texts if there are at most ``few`` (8 bytes each), else the texts are shuffled to them.
     """
-    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    if wanted.count() <= few:
-        wanted = F.broadcast(wanted)
-    texts = _nodes(docs).select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
-    def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t.as_py(), width) for t in part.column(1)], pa.list_(pa.int64()))], names=["node", "s"])
-
-    sets = cut(texts.mapInArrow(hashed, "node bigint, s array<bigint>"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    def texts_of(pairs: DataFrame, made, schema: str) -> DataFrame:
+        wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        if wanted.count() <= few:
+            wanted = F.broadcast(wanted)
+
+        def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([part.column(0), *made([shingle_hashes(t.as_py(), width) for t in part.column(1)])], names=["node", *[c.split()[0] for c in schema.split(", ")]])
+
+        return cut(_nodes(docs).select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(batches, f"node bigint, {schema}"))
+
+    # first by the numbers of shingles in 512 places: sets that differ in d elements differ by at most d there
+    counts = texts_of(pairs, lambda sets: [pa.array([len(x) for x in sets], pa.int64()), pa.array([places(x) for x in sets], pa.list_(pa.int32()))], "n bigint, c array<int>")
+    some = pairs
+    for side in ("a", "b"):
+        some = some.join(counts.select(F.col("node").alias(side), F.col("c").alias(f"c{side}"), F.col("n").alias(f"n{side}")), side)
+    differ = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    some = cut(some.filter(differ <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b"))
+    sets = texts_of(some, lambda sets: [pa.array(sets, pa.list_(pa.int64()))], "s array<bigint>")
+    both = some.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return cut(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
 
+def places(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes fall in each of 512 places."""
+    return np.bincount(hashes.view(np.uint64) % np.uint64(512), minlength=512).astype(np.int32)
+
+
 def prefix_length(n: int, similarity: float) -> int:
     """How many of the first of n elements, in any order that all sets share, must have one in common with a similar set."""
     return n - math.ceil(similarity * n - 1e-9) + 1
@@ -241,25 +256,36 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, lo
     some = whole.groupBy("key").agg(F.count("*").alias("n"), *least).filter("n > 1")
     some = some.select("key", F.array_distinct(F.array(*[F.expr(f"r{i} ^ {salt}L") for i, salt in enumerate(SALTS)])).alias("some"))
     pairs = described_pairs(whole.join(some, "key").select(F.col("node").alias("a"), F.explode("some").alias("b")))
-    links_1 = similar(docs, pairs, width, similarity)
-    groups = cut(components(links_1))
-
-    index = found.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("group"), F.posexplode("first").alias("at", "key"))
-    by_key = Window.partitionBy("key")
-    index = index.withColumn("low", F.min("group").over(by_key)).withColumn("high", F.max("group").over(by_key)).filter("low <> high")
-    index = cut(index.select("key", "node", "group", "at"))
-    counts = index.groupBy("key", "group").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("largest"))
-    index = index.join(sketch, "node").join(largest, "key").select("key", F.struct("node", "group", "at", "sketch.n", "sketch.bits").alias("one"), "largest")
+    near = similar(docs, pairs, width, similarity)
+
+    def mixed(index: DataFrame, near: DataFrame) -> DataFrame:
+        """(key, node, group, at, largest) of keys that several groups have; ``largest`` is the one with most rows."""
+        groups, by_key = cut(components(near)), Window.partitionBy("key")
+        index = index.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group"), "at")
+        index = index.withColumn("low", F.min("group").over(by_key)).withColumn("high", F.max("group").over(by_key)).filter("low <> high")
+        index = cut(index.select("key", "node", "group", "at"))
+        counts = index.groupBy("key", "group").agg(F.count("*").alias("n"))
+        return index.join(counts.groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("largest")), "key")
+
+    # what is not in a key's largest group is compared with one of that group, another one for each key
+    index = mixed(found.select("node", F.posexplode("first").alias("at", "key")), near)
+    one = index.filter("group = largest").groupBy("key").agg(F.min(F.expr("node ^ key")).alias("m")).select("key", F.expr("m ^ key").alias("b"))
+    again = described_pairs(index.filter("group <> largest").select("key", F.col("node").alias("a")).join(one, "key").select("a", "b"))
+    near = cut(near.unionByName(similar(docs, again.join(pairs, ["a", "b"], "left_anti"), width, similarity)))
+    pairs = pairs.unionByName(again)
+    index = mixed(index.select("key", "node", "at"), near)
+    # a pair with several keys in common comes at the first: not where an earlier key of both is among the four before
+    before = F.collect_list("key").over(Window.partitionBy("node").orderBy("at").rowsBetween(-4, -1))
+    index = index.withColumn("before", before).join(sketch, "node")
+    index = index.select("key", F.struct("node", "group", "at", "before", "sketch.n", "sketch.bits").alias("one"), "largest")
     # no more than the shared shingle and all after it can be common, if it is the first that the two share
     rest = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at")) >= similarity / (1 + similarity) * (F.col("p.n") + F.col("q.n")) - 1e-6
     # p: any document, q: one outside the key's largest group; two of those are paired once
     once = (F.col("p.group") == F.col("largest")) | (F.col("p.node") < F.col("q.node"))
-    apart = (F.col("p.group") != F.col("q.group")) & once & rest & possible("p", "q")
+    apart = (F.col("p.group") != F.col("q.group")) & once & rest & possible("p", "q") & ~F.arrays_overlap("p.before", "q.before")
     more = index.withColumnRenamed("one", "p").join(index.filter("one.group <> largest").select("key", F.col("one").alias("q")), "key").filter(apart)
-    more = more.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")  # the first step has compared those
-    links_2 = similar(docs, cut(more), width, similarity)
-    roots = components(links_1.unionByName(links_2))
+    more = more.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")  # compared before
+    roots = components(near.unionByName(similar(docs, cut(more), width, similarity)))
     named = found.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("node").alias("best"))).alias("m"))
     return named.join(best, "root").select("node", "doc_id", (F.col("node") == F.col("m.best")).alias("stays"))
