@@ -48,13 +48,29 @@ class Engine:
         self._write(stored, "genotyped", "individual_id")
         return stored
 
+    def genotypes(self, people: list[str] | None = None) -> DataFrame:
+        """Numeric genotypes of people, or of all: merged calls, and measured ones of those who have no merged calls."""
+
+        def of(name: str) -> DataFrame | None:
+            try:
+                rows = self._read(name)
+            except AnalysisException:
+                return None
+            rows = rows.withColumn("individual_id", F.col("individual_id").cast("string"))
+            return rows if people is None else rows.filter(F.col("individual_id").isin(people))
+
+        merged, measured = of("unified"), of("genotyped")
+        if merged is None and measured is None:
+            raise FileNotFoundError(f"no genotypes in {self.root}")
+        parts = [match.load_dna(x) for x in (merged, measured) if x is not None]
+        if len(parts) == 2:
+            parts[1] = parts[1].join(merged.select("individual_id").distinct(), "individual_id", "left_anti")
+            return parts[0].unionByName(parts[1], allowMissingColumns=True)
+        return parts[0]
+
     def calculate(self, people: list[str] | None = None, traits: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         """Results of scores and of traits, stored by trait; ``None`` means all that there are."""
-        ids = people if people is not None else [r["individual_id"] for r in self._read("genotyped").select("individual_id").distinct().collect()]
-        dna = None
-        for i in ids:  # folders differ by person; the plan is one
-            own = match.load_dna(open_dna(self.spark, self.root, i))
-            dna = own if dna is None else dna.unionByName(own)
+        dna = self.genotypes(people)
         chosen = self._read("trait_pgs")
         if traits is not None:
             chosen = chosen.filter(F.col("trait_id").isin(traits))

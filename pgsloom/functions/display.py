@@ -23,6 +23,24 @@ TRAIT_UNITS = {
 }
 
 
+#: How a unit is written and with how many decimals.
+FORMATS = {
+    "mg/dL": ("mg/dL", 1), "mg/L": ("mg/L", 2), "ng/mL": ("ng/mL", 2), "pg/mL": ("pg/mL", 1), "μmol/L": ("μmol/L", 1), "μg/dL": ("μg/dL", 1), "mEq/L": ("mEq/L", 1), "mIU/L": ("mIU/L", 2), "U/L": ("U/L", 0), "mmHg": ("mmHg", 0),
+    "kg": ("kg", 1), "g/cm²": ("g/cm²", 3), "mm³": ("mm³", 0), "fL": ("fL", 1), "liters": ("L", 2), "mL/min/1.73m²": ("mL/min/1.73m²", 0), "picograms": ("pg", 1), "beats/min": ("bpm", 0), "milliseconds": ("ms", 0), "years": ("years", 1),
+    "kcal/day": ("kcal/day", 0), "g/day": ("g/day", 1), "drinks/week": ("drinks/week", 1), "thousand/μL": ("×10³/μL", 2), "cells/μL": ("cells/μL", 0), "%": ("%", 1), "ratio": ("", 2), "BMI": ("kg/m²", 1), "cm or inches": ("cm", 1), "mm or %": ("mm", 1),
+    "score": ("", 1), "pattern scale": ("", 1), "grade": ("", 1), "count": ("", 0),
+}
+
+
+def value_text(value: Column, unit: Column) -> Column:
+    """A value as it is shown: decimals by unit, thousands set apart, the unit behind it; null for units that are not shown."""
+    out = F.lit(None).cast("string")
+    for name, (shown, digits) in FORMATS.items():
+        behind = F.lit("" if not shown else shown if shown == "%" else f" {shown}")
+        out = F.when(unit == name, F.concat(F.format_number(value, digits), behind)).otherwise(out)
+    return out
+
+
 def trait_unit(trait_id: Column) -> Column:
     units = F.create_map(*[F.lit(x) for kv in TRAIT_UNITS.items() for x in kv])
     return F.coalesce(F.element_at(units, trait_id), F.lit("units"))

@@ -204,3 +204,9 @@ def detail(scores: DataFrame, evaluations: DataFrame) -> DataFrame:
     nested = evaluations.groupBy("pgs_id").agg(F.sort_array(F.collect_list(F.struct("metric_type", "metric_value", "samples"))).alias("evaluations"))
     total = F.aggregate("evaluations", F.lit(0).cast("long"), lambda a, e: a + e["samples"])
     return scores.join(nested, "pgs_id", "left").withColumn("samples", F.coalesce(total, F.lit(0).cast("long")))
+
+
+def trait_scores(traits: DataFrame) -> DataFrame:
+    """(trait_id, pgs_id), each once: the scores of a trait and of the traits below it, from two lists that may be null."""
+    both = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("associated_pgs_ids", "child_associated_pgs_ids")])
+    return traits.select("trait_id", F.explode(F.array_distinct(both)).alias("pgs_id"))

@@ -76,6 +76,15 @@ def bake(dna: DataFrame, af: DataFrame, dr2: DataFrame) -> DataFrame:
     return rows.withColumn("expected_dosage", expected).withColumn("imputation_quality", F.coalesce("dr2", default_quality(F.col("imputed")))).drop("af", "dr2")
 
 
+def truth_pairs(truth: DataFrame, dosages: DataFrame) -> DataFrame:
+    """(vid, sample, t, d): true genotypes beside imputed dosages, of the variants and samples that both have.
+
+    A genotype is text as in a VCF; one that is not called counts as no copies, as in ``alleles.gt_dosage``.
+    """
+    copies = F.aggregate(F.transform(F.split("gt", r"[/|]"), lambda a: F.coalesce(a.try_cast("int"), F.lit(0))), F.lit(0), lambda a, b: a + b)
+    return truth.select("vid", "sample", copies.cast("double").alias("t")).join(dosages.select("vid", "sample", F.col("dosage").alias("d")), ["vid", "sample"])
+
+
 def dr2(pairs: DataFrame) -> DataFrame:
     """(vid, dr2) from true and imputed dosages of samples."""
     return pairs.groupBy("vid").agg(S.dr2(F.col("t"), F.col("d")).alias("dr2"))

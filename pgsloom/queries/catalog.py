@@ -216,3 +216,9 @@ def gene_catalog(t: Inputs) -> DataFrame:
 def trait_kinds(t: Inputs) -> DataFrame:
     text = F.when(F.col("category") == "ASIA", F.lit('["Other measurement", "x"]')).otherwise(F.lit("Cancer, Other disease"))
     return t.view("traits").select("trait_id", catalog.trait_kind(text).alias("kind"))
+
+
+@query("trait_scores", """select distinct trait_id, pgs_id from (select trait_id, pgs_id from fx_trait_pgs where pgs_id <= 'PGS000030' union all select trait_id, pgs_id from fx_trait_pgs where pgs_id >= 'PGS000020') q""")
+def trait_scores(t: Inputs) -> DataFrame:
+    rows, pgs = t.view("trait_pgs"), F.col("pgs_id")
+    return catalog.trait_scores(rows.groupBy("trait_id").agg(F.collect_list(F.when(pgs <= "PGS000030", pgs)).alias("associated_pgs_ids"), F.collect_list(F.when(pgs >= "PGS000020", pgs)).alias("child_associated_pgs_ids")))

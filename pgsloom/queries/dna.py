@@ -57,6 +57,15 @@ def dr2(t: Inputs) -> DataFrame:
     return dna.dr2(t.view("truth")).select("vid", *rounded("dr2"))
 
 
+GT = "select vid, sample, case cast(t as int) when 0 then '0/0' when 1 then case when sample % 2 = 0 then '0|1' else '1/0' end else '1|1' end as gt from fx_truth where (vid + sample) % 7 <> 0 union all select -1, 0, './.'"
+DOSAGES = "select vid, sample, d as dosage from fx_truth where vid % 11 <> 0 union all select -1, 0, 5e-1"
+
+
+@query("truth_pairs", f"""with g as ({GT}), d as ({DOSAGES}) select g.vid, g.sample, case when g.gt = './.' then 0e0 else cast(substr(g.gt, 1, 1) as double) + cast(substr(g.gt, 3, 1) as double) end as t, d.dosage as d from g join d on d.vid = g.vid and d.sample = g.sample""")
+def truth_pairs(t: Inputs) -> DataFrame:
+    return dna.truth_pairs(t.sql(GT), t.sql(DOSAGES))
+
+
 @query("dr2_stats", f"with r as (select vid, round(dr2, 6) as dr2 from ({DR2}) q) select count(*) as variants, round(avg(dr2), 6) as mean, round(median(dr2), 6) as median, count(*) filter (where dr2 >= 8e-1) as high, count(*) filter (where dr2 < 3e-1) as low from r")
 def dr2_stats(t: Inputs) -> DataFrame:
     found = dna.dr2(t.view("truth")).select("vid", *rounded("dr2"))

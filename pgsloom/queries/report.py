@@ -121,6 +121,15 @@ def unit_convert(t: Inputs) -> DataFrame:
     return t.sql(UNITS).select("k", F.round(D.convert(F.col("v"), F.col("u"), F.col("w")), 4).alias("value"), D.default_unit(F.col("u")).alias("preferred"))
 
 
+SHOWN = "select n_nationkey as k, n_nationkey * 13721e-2 + 3e-2 as v, case n_nationkey % 8 when 0 then 'mg/dL' when 1 then 'U/L' when 2 then 'g/cm²' when 3 then '%' when 4 then 'ratio' when 5 then 'kcal/day' when 6 then 'thousand/μL' else 'SNPs' end as u from nation"
+
+
+@query("value_text", f"""select k, case u when 'mg/dL' then format('{{:,.1f}} mg/dL', v) when 'U/L' then format('{{:,.0f}} U/L', v) when 'g/cm²' then format('{{:,.3f}} g/cm²', v) when '%' then format('{{:,.1f}}%', v) when 'ratio' then format('{{:,.2f}}', v)
+  when 'kcal/day' then format('{{:,.0f}} kcal/day', v) when 'thousand/μL' then format('{{:,.2f}} ×10³/μL', v) end as shown from ({SHOWN}) q""")
+def value_text(t: Inputs) -> DataFrame:
+    return t.sql(SHOWN).select("k", D.value_text(F.col("v"), F.col("u")).alias("shown"))
+
+
 @query("texts", "select cast(n_nationkey as int) as n, concat(cast(n_nationkey as string), case when n_nationkey % 10 = 1 and n_nationkey <> 11 then 'st' when n_nationkey % 10 = 2 and n_nationkey <> 12 then 'nd' when n_nationkey % 10 = 3 and n_nationkey <> 13 then 'rd' else 'th' end, ' percentile') as ordinal from nation")
 def texts(t: Inputs) -> DataFrame:
     return t.table("nation").select(F.col("n_nationkey").cast("int").alias("n"), D.ordinal(F.col("n_nationkey")).alias("ordinal"))

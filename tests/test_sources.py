@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from pgsloom.engine import Engine, open_dna
+from pgsloom.operators import match, score
 from pgsloom.plans.fixtures import Inputs
 from pgsloom.sources import binary, consumer, scoring_files, tables
 from pgsloom.streaming import events, scoring
@@ -103,5 +104,19 @@ def test_streams_replay(spark, sf_dir, tmp_path):
     first = scoring.score_stream(stream(), t.view("pack"), str(tmp_path)).count()
     again = scoring.score_stream(stream(), t.view("pack"), str(tmp_path)).count()  # nothing new: nothing is added
     assert first == again == 48
+
+
+def test_a_person_in_two_batches(spark, sf_dir, tmp_path):
+    """Files that come one a batch, each with a part of every person's genotypes, give the scores of the whole."""
+    t = Inputs(spark, sf_dir)
+    t.view("dna").repartition(3, "pos").write.parquet(f"{tmp_path}/dna")
+    got = scoring.score_stream(events.read_stream(spark, f"{tmp_path}/dna", 1), t.view("pack"), str(tmp_path)).collect()
+    want = score.pgs_aggregate(match.variant_match(t.view("pack"), t.view("dna"))).collect()
+    plain = lambda rows: sorted((r["individual_id"], r["pgs_id"], *[round(r[c], 6) for c in sorted(r.asDict()) if c not in score.BY]) for r in rows)
+    assert plain(got) == plain(want) and len(got) == 48
+    assert spark.read.parquet(f"{tmp_path}/scores").select("batch").distinct().count() == 3
+
+
+def test_event_streams(spark, sf_dir, tmp_path):
     tumbled = events.drain(events.tumbling(events.read_stream(spark, f"{sf_dir}/events.parquet")), str(tmp_path / "w"))
     assert tumbled.count() <= 977  # windows that may still change are held back
