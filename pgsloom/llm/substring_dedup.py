@@ -161,12 +161,15 @@ def level_keys(block: pa.Table, survivors: pa.Table | None, window: int, before:
 def firsts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Which windows are the first with both of their hashes."""
     out = np.zeros(len(one), bool)
-    _, at, of = np.unique(one, return_index=True, return_inverse=True)
-    if (two == two[at[of]]).all():  # equal by the first hash: equal by the other, unless there is a collision
-        out[at] = True
-    else:
+    order = np.argsort(one, kind="stable")
+    same = one[order][1:] == one[order][:-1]
+    if (two[order][1:] == two[order][:-1])[same].all():  # equal by the first hash: equal by the other
+        new = ~same
+    else:  # a collision
         order = np.lexsort((np.arange(len(one)), two, one))
-        out[order] = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))
+        new = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    out[order[:1]] = True
+    out[order[1:][new]] = True
     return out
 
 

@@ -86,6 +86,19 @@ def test_substring_dedup_null_and_text_ids(spark):
         assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(named, block_mb=block_mb).collect()}["d000"] == 0
 
 
+def test_firsts_tell_collisions_apart():
+    rnd = np.random.default_rng(3)
+    for low in (3, 10**6):
+        one, two = rnd.integers(0, 5, 200).astype(np.uint64), rnd.integers(0, low, 200).astype(np.uint64)
+        for second in (two, one):
+            seen, want = set(), []
+            for pair in zip(one.tolist(), second.tolist()):
+                want.append(pair not in seen)
+                seen.add(pair)
+            assert substring_dedup.firsts(one, second).tolist() == want
+    assert substring_dedup.firsts(one[:0], two[:0]).tolist() == []
+
+
 def test_word_hashes_do_not_depend_on_the_stretch():
     data = np.frombuffer(("aß \t b\r\nc " * 50).encode(), np.uint8)
     whole, *_ = substring_dedup.word_hashes(data)
