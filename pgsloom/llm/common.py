@@ -83,15 +83,16 @@ def running(df: DataFrame, group: list[str], at: str, amount: str, out: str, wid
     return df.join(totals, [*group, "__b"]).withColumn(out, F.col("__at") + F.col("__in")).drop("__b", "__in", "__at")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, per_task: int = 250_000) -> DataFrame:
     """(node, root) for each node of the links (a, b): root is the smallest node that it can reach.
 
     Large-star and small-star steps alternate until the links stay as they are; each node then hangs from its root.
     Every step is a minimum by node (combined before the shuffle) and a join, and its links are written to the
-    checkpoint folder, so no component is ever gathered in one place.
+    checkpoint folder, so no component is ever gathered in one place. A step takes one task for each ``per_task`` links
+    that it starts from, so that few links are not spread over as many small files as the session has partitions.
     """
 
-    def star(links: DataFrame, small: bool) -> DataFrame:
+    def star(links: DataFrame, small: bool, tasks: int) -> DataFrame:
         both = links if small else links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).withColumn("m", F.least("w", "m"))
         joined = both.join(least, F.col("u") == F.col("w"))
@@ -99,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
             moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
         else:
             moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.filter("u <> v").distinct()
+        return moved.filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
 
     def mark(links: DataFrame) -> tuple:
         return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -107,7 +108,8 @@ def components(edges: DataFrame) -> DataFrame:
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = mark(links)
     while seen[0]:
-        links = cut(star(star(links, False), True))
+        tasks = seen[0] // per_task + 1
+        links = cut(star(star(links.coalesce(tasks), False, tasks), True, tasks))
         now = mark(links)
         if now == seen:
             break
