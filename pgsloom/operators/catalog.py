@@ -54,9 +54,9 @@ def trait_uri(trait_id: Column) -> Column:
 
 
 def pgs_filter(scores: DataFrame) -> DataFrame:
-    """Scores of fewer than eight variants are excluded, integrative ones are flagged."""
+    """Scores of fewer than eight variants are excluded, integrative ones (by name or, where there are any, parameters of the method) are flagged."""
     out = F.coalesce((F.col("variants_number") > 0) & (F.col("variants_number") < Q.LEAST_VARIANTS), F.lit(False))
-    flag = integrative(F.col("method_name"))
+    flag = integrative(*[F.col(c) for c in ("method_name", "method_params") if c in scores.columns])
     reason = F.when(out, F.concat(F.lit("Too few variants: "), F.col("variants_number").cast("string"), F.lit(" (minimum 8 required)"))).when(flag, "Integrative PGS (flagged)").otherwise("Standard PGS score")
     return scores.withColumn("exclude", out).withColumn("integrative", flag & ~out).withColumn("reason", reason)
 

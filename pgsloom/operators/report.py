@@ -57,7 +57,9 @@ def problematic(results: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores beyond five sigma: how often, how far, and which issue rules apply."""
     rows = results.drop("norm_mean", "norm_sd").join(scores, "pgs_id").filter((F.coalesce("norm_mean", F.lit(0.0)) != 0) & (F.coalesce("norm_sd", F.lit(0.0)) != 0))
     rows = rows.withColumn("far", F.abs((F.col("raw_score") - F.col("norm_mean")) / F.col("norm_sd"))).filter("far > 5")
-    issues = F.array_compact(F.array(F.when(F.abs(F.col("norm_mean") / F.col("norm_sd")) > 15, "scale"), F.when(F.col("weight_type") == "Inverse-variance weighting", "weighting"), F.when(F.abs("norm_mean") > 100, "mean")))
+    method = F.lower(F.col("method_name") if "method_name" in rows.columns else F.lit(""))
+    odd = method.contains("inverse") | method.contains("variant weights")
+    issues = F.array_compact(F.array(F.when(F.abs(F.col("norm_mean") / F.col("norm_sd")) > 15, "scale"), F.when(F.col("weight_type") == "Inverse-variance weighting", "weighting"), F.when(F.abs("norm_mean") > 100, "mean"), F.when(odd, "method")))
     return rows.withColumn("issues", issues).groupBy("trait_id", "pgs_id").agg(F.count("*").alias("occurrences"), F.max("far").alias("max_far"), F.first("issues").alias("issues"))
 
 

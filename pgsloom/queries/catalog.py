@@ -56,6 +56,14 @@ def pgs_filter(t: Inputs) -> DataFrame:
     return catalog.pgs_filter(t.view("catalog")).select("pgs_id", "exclude", "integrative", "reason")
 
 
+PARAMS = "case when variants_number % 3 = 0 then 'Ensemble of five' else 'p = 0.01' end"
+
+
+@query("pgs_filter_params", f"select pgs_id, variants_number > 0 and variants_number < 8 as exclude, ({FLAGGED} or {PARAMS} like 'Ensemble%') and not (variants_number > 0 and variants_number < 8) as integrative from fx_catalog")
+def pgs_filter_params(t: Inputs) -> DataFrame:
+    return catalog.pgs_filter(t.view("catalog").withColumn("method_params", F.expr(PARAMS))).select("pgs_id", "exclude", "integrative")
+
+
 @query("validate_score", """with r as (select pgs_id, case when lower(coalesce(method_name, '')) like '%meta-analysis%' or lower(coalesce(method_name, '')) like '%composite%' then 'integrative' when weight_type = 'NR' and lower(coalesce(method_name, '')) like '%ldpred%' then 'modern method'
   when weight_type = 'NR' and trim(coalesce(method_name, '')) = '' then 'no method' when weight_type = 'NR' then 'method specified' else 'standard' end as reason from fx_catalog) select pgs_id, reason in ('integrative', 'no method') as exclude, reason from r""")
 def validate_score(t: Inputs) -> DataFrame:

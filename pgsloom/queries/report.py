@@ -52,6 +52,16 @@ def problematic_pgs(t: Inputs) -> DataFrame:
     return report.problematic(scoring.results(t), t.view("pgs_scores")).select("trait_id", "pgs_id", "occurrences", *rounded("max_far"), F.array_join("issues", ",").alias("issues"))
 
 
+METHODS = "case when pgs_id like '%0' then 'Inverse variance' when pgs_id like '%5' then 'Sum of variant weights' else 'LDpred' end"
+
+
+@query("problematic_pgs_methods", f"""with p as (select *, abs((raw_score - norm_mean) / norm_sd) as far from fx_results where coalesce(norm_mean, 0) <> 0 and coalesce(norm_sd, 0) <> 0)
+  select trait_id, pgs_id, concat_ws(',', case when abs(any_value(norm_mean) / any_value(norm_sd)) > 15 then 'scale' end, case when any_value({METHODS}) <> 'LDpred' then 'method' end) as issues from p where far > 5 group by trait_id, pgs_id""")
+def problematic_pgs_methods(t: Inputs) -> DataFrame:
+    rows = report.problematic(scoring.results(t), t.view("pgs_scores").withColumn("method_name", F.expr(METHODS)))
+    return rows.select("trait_id", "pgs_id", F.array_join("issues", ",").alias("issues"))
+
+
 @query("validation", """with tr as (select * from fx_trait_results), n as (select count(distinct trait_id) as a from tr),
   s as (select count(*) filter (where abs(z_score) > 10) as extreme, count(z_score) as scored, count(*) filter (where total_variants = 0) as empty, count(*) filter (where matched_variants > total_variants and total_variants > 0) as over, count(*) filter (where insufficient_data) as poor, count(*) as rows from fx_results),
   m as (select count(*) filter (where best_pgs_id is null) as k from tr), d as (select count(*) filter (where sp > 10) as k from (select max(overall_z) - min(overall_z) as sp from tr group by trait_id) q)
