@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pgsloom.functions import alleles as A
 from pgsloom.functions import display as D
 from pgsloom.functions import quality as Q
 from pgsloom.functions import statistics as S
@@ -117,6 +118,15 @@ def catalog_stats(traits: DataFrame) -> DataFrame:
     return traits.groupBy(F.get(F.split("trait_id", "[_:]"), F.lit(0)).alias("ontology")).agg(F.count("*").alias("traits"), F.countDistinct("category").alias("categories"))
 
 
+def catalog_totals(traits: DataFrame, included: DataFrame, variants: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(kind, name, n): totals of the catalog, and its excluded scores by method (``Unknown`` where none is given)."""
+    total = lambda df, name, n: df.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n")).select(F.lit("total").alias("kind"), F.lit(name).alias("name"), "n")
+    method = F.coalesce(F.nullif("method_name", F.lit("")), F.lit("Unknown"))
+    by_method = excluded.groupBy(method.alias("name")).agg(F.count("*").alias("n")).select(F.lit("method").alias("kind"), "name", "n")
+    totals = [total(traits, "traits", F.count("*")), total(included, "scores", F.count("*")), total(variants, "variants", F.sum("variants")), total(excluded, "excluded", F.count("*"))]
+    return reduce(DataFrame.unionByName, [*totals, by_method])
+
+
 def quality_analysis(filtered: DataFrame, weights: DataFrame) -> DataFrame:
     rows = filtered.join(weights.select("pgs_id", "kind", "weight"), "pgs_id", "left")
     reason = F.when(F.col("exclude"), "excluded").when(F.col("integrative"), "integrative").otherwise("standard")
@@ -191,12 +201,13 @@ def gene_category(description: Column) -> Column:
 
 
 def gene_catalog(genes: DataFrame, publications: DataFrame, curated: DataFrame | None = None, tax_id: int = 9606, least: int = 50, most: int = 500) -> DataFrame:
-    """The genes with the most publications, in the order of the genome; curated descriptions win."""
+    """The genes with the most publications; curated descriptions win. In the order of the genome where chr and start are given, else by publications."""
     counts = publications.filter(F.col("tax_id") == tax_id).groupBy("gene_id").agg(F.countDistinct("pubmed_id").alias("publications")).filter(F.col("publications") >= least)
     rows = genes.filter(F.col("tax_id") == tax_id).join(counts, "gene_id")
     if curated is not None:
         rows = rows.join(curated.select("gene_id", F.col("description").alias("better")), "gene_id", "left").withColumn("description", F.coalesce("better", "description")).drop("better")
-    return rows.withColumn("category", gene_category(F.col("description"))).orderBy(F.col("publications").desc(), "gene_id").limit(most)
+    top = rows.withColumn("category", gene_category(F.col("description"))).orderBy(F.col("publications").desc(), "gene_id").limit(most)
+    return top.orderBy(A.chromosome_code(F.col("chr")).asc_nulls_last(), "start", "gene_id") if {"chr", "start"} <= set(genes.columns) else top
 
 
 def detail(scores: DataFrame, evaluations: DataFrame) -> DataFrame:

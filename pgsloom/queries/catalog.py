@@ -116,6 +116,16 @@ def trait_totals(t: Inputs) -> DataFrame:
     return catalog.trait_totals(t.view("trait_pgs"), score.pgs_totals(t.view("pack")))
 
 
+@query("catalog_totals", f"""with f as (select p.trait_id, p.pgs_id, c.method_name, coalesce(c.exclude, false) as exclude from fx_trait_pgs p join ({FILTERED}) c on c.pgs_id = p.pgs_id)
+  select 'total' as kind, 'traits' as name, count(*) as n from fx_traits union all select 'total', 'scores', count(*) from f where not exclude
+  union all select 'total', 'variants', cast(coalesce(sum(total_variants), 0) as bigint) from f join fx_totals t on t.pgs_id = f.pgs_id where not exclude union all select 'total', 'excluded', count(*) from f where exclude
+  union all select 'method', coalesce(nullif(method_name, ''), 'Unknown') as name, count(*) from f where exclude group by coalesce(nullif(method_name, ''), 'Unknown')""")
+def catalog_totals(t: Inputs) -> DataFrame:
+    rows = t.view("trait_pgs").join(catalog.pgs_filter(t.view("catalog")).select("pgs_id", "method_name", "exclude"), "pgs_id")
+    included = rows.filter("not exclude").select("trait_id", "pgs_id")
+    return catalog.catalog_totals(t.view("traits"), included, catalog.trait_totals(included, score.pgs_totals(t.view("pack"))), rows.filter("exclude"))
+
+
 @query("catalog_stats", "select split_part(trait_id, '_', 1) as ontology, count(*) as traits, count(distinct category) as categories from fx_traits group by 1")
 def catalog_stats(t: Inputs) -> DataFrame:
     return catalog.catalog_stats(t.view("traits"))

@@ -52,7 +52,7 @@ def problematic_pgs(t: Inputs) -> DataFrame:
     return report.problematic(scoring.results(t), t.view("pgs_scores")).select("trait_id", "pgs_id", "occurrences", *rounded("max_far"), F.array_join("issues", ",").alias("issues"))
 
 
-METHODS = "case when pgs_id like '%0' then 'Inverse variance' when pgs_id like '%5' then 'Sum of variant weights' else 'LDpred' end"
+METHODS = "case when substring(pgs_id, 8, 1) <= '2' then 'Inverse variance' when substring(pgs_id, 8, 1) >= '8' then 'Sum of variant weights' else 'LDpred' end"
 
 
 @query("problematic_pgs_methods", f"""with p as (select *, abs((raw_score - norm_mean) / norm_sd) as far from fx_results where coalesce(norm_mean, 0) <> 0 and coalesce(norm_sd, 0) <> 0)

@@ -152,3 +152,10 @@ def test_queue(spark):
 def test_manifest_rules(spark):
     rows = spark.createDataFrame([("EFO_0000001", "n", "disease_risk", None), ("bad", "", "other", None), ("HP_0000001", "n", "quantitative", None)], "trait_id string, name string, trait_type string, phenotype_sd double")
     assert sorted((r["trait_id"], r["violation"]) for r in catalog.manifest_violations(rows).collect()) == [("HP_0000001", "phenotype_sd"), ("bad", "name"), ("bad", "trait_id"), ("bad", "trait_type")]
+
+
+def test_genes_in_genome_order(spark):
+    genes = spark.sql("select * from values (1, 9606, 'tumor protein', 'chr2', 5), (2, 9606, 'x', '1', 9), (3, 9606, 'x', 'X', 1), (4, 9606, 'x', '1', 3), (5, 9606, 'x', 'KI270', 1) as g(gene_id, tax_id, description, chr, start)")
+    papers = spark.sql("select gene_id, 9606 as tax_id, pubmed_id from values (1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (5, 7) as p(gene_id, pubmed_id)")
+    assert [r["gene_id"] for r in catalog.gene_catalog(genes, papers, least=1).collect()] == [4, 2, 1, 3, 5]
+    assert [r["gene_id"] for r in catalog.gene_catalog(genes, papers, least=1, most=2).collect()] == [1, 3]

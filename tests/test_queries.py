@@ -11,7 +11,7 @@ from pgsloom.queries import QUERIES, SQL
 NAMES = [
     "pgs_aggregate", "pgs_aggregate_oriented", "genotyped_match", "weight_buckets", "top_variants", "waterfall", "pgs_results", "trait_result", "zscore_percentile", "hwe_norm_oriented", "hwe_norm_plain",
     "ancestry_norm", "empirical_norm", "tiered_norm_raw", "density_bins", "percentile_grid", "merge_imputed", "liftover", "bake_metadata", "dr2", "ref_alt_gt", "standardize", "infer_other_allele", "enhanced_filter",
-    "upsert_coalesce", "truth_pairs", "trait_scores", "pgs_filter", "pgs_filter_params", "problematic_pgs", "problematic_pgs_methods", "gene_catalog", "value_text", "events_sliding", "audit_flags", "validation", "run_estimate", "events_session", "incremental_scoring",
+    "upsert_coalesce", "truth_pairs", "trait_scores", "pgs_filter", "pgs_filter_params", "problematic_pgs", "problematic_pgs_methods", "gene_catalog", "catalog_totals", "value_text", "events_sliding", "audit_flags", "validation", "run_estimate", "events_session", "incremental_scoring",
 ]
 
 
