@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pgsloom.llm import decontam, exact_dedup, html_text, licences, mixing, quality, secrets, simhash, substring_dedup, tokens
+from pgsloom.llm import bpe, decontam, exact_dedup, html_text, licences, mixing, periodic_runs, quality, secrets, simhash, substring_dedup, tokens, upsert
 
 QUERIES = {
     "op1_token_counts": tokens.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_licences": licences.query,
     "op10_mixing": mixing.query,
+    "op11_upsert": upsert.query,
+    "op12_bpe": bpe.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 SQL = {"op2_substring_dedup": substring_dedup.SQL, "op4_exact_dedup": exact_dedup.SQL}
