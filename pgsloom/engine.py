@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pgsloom.operators import finalize, match, report, results, score
 from pgsloom.sources import consumer, tables
+from pgsloom.sources.store import ResultStore
 
 
 def open_dna(spark: SparkSession, root: str, individual_id: str) -> DataFrame:
@@ -23,14 +24,22 @@ def open_dna(spark: SparkSession, root: str, individual_id: str) -> DataFrame:
 class Engine:
     """Packs, catalog, genotypes and results below one folder, all of it Parquet.
 
-    All people and traits that are asked for are scored in one plan; there is no loop over either.
+    All people and traits that are asked for are scored in one plan; there is no loop over either. Results are merged by
+    key into what is stored: those of other people stay, and a call that finds nothing new changes nothing.
     """
 
+    #: What names a row of each table of results.
+    KEYS = {"pgs_results": ["individual_id", "trait_id", "pgs_id"], "trait_results": ["individual_id", "trait_id"]}
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
+    def store(self, name: str) -> ResultStore:
+        """A table of results, in parts by trait; ``calculated_at`` says when a row last changed."""
+        return ResultStore(self.spark, f"{self.root}/{name}", self.KEYS[name], "trait_id", "calculated_at")
+
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        return self.store(name).read() if name in self.KEYS else self.spark.read.parquet(f"{self.root}/{name}")
 
     def _write(self, rows: DataFrame, name: str, by: str) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.root}/{name}")
@@ -69,20 +78,30 @@ class Engine:
         return parts[0]
 
     def calculate(self, people: list[str] | None = None, traits: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-        """Results of scores and of traits, stored by trait; ``None`` means all that there are."""
+        """Results of scores and of traits, merged into what is stored; ``None`` means all that there are."""
         dna = self.genotypes(people)
         chosen = self._read("trait_pgs")
         if traits is not None:
             chosen = chosen.filter(F.col("trait_id").isin(traits))
         pack = self._read("pack").join(chosen.select("pgs_id").distinct(), "pgs_id", "left_semi")
         done = finalize.pgs_results(score.pgs_aggregate(match.variant_match(pack, dna)), score.pgs_totals(pack), self._read("pgs_scores"), finalize.best_r2(self._read("pgs_performance")), chosen, dna)
-        self._write(done, "pgs_results", "trait_id")
-        self._write(finalize.trait_results(self._read("pgs_results").join(chosen.select("trait_id").distinct(), "trait_id", "left_semi"), self._read("traits")), "trait_results", "trait_id")
+        self.store("pgs_results").merge(done)
+        # from what is stored: the scores of this call's people and traits, all others stay as they are
+        now = self._read("pgs_results").join(chosen.select("trait_id").distinct(), "trait_id", "left_semi").join(dna.select("individual_id").distinct(), "individual_id", "left_semi")
+        self.store("trait_results").merge(finalize.trait_results(now, self._read("traits")))
         return self._read("pgs_results"), self._read("trait_results")
 
+    def forget(self, people: list[str]) -> None:
+        """Delete the results of people."""
+        gone = self.spark.createDataFrame([(p,) for p in people], "individual_id string")
+        for name in self.KEYS:
+            self.store(name).delete(gone)
+
     def pending(self) -> DataFrame:
         """What is still to be calculated."""
-        return results.skip_existing(self._read("genotyped"), self._read("traits"), self._read("trait_results").select("individual_id", "trait_id"))
+        store = self.store("trait_results")
+        done = store.read().select(*store.keys) if store.exists() else self.spark.createDataFrame([], "individual_id string, trait_id string")
+        return results.skip_existing(self._read("genotyped"), self._read("traits"), done)
 
     def traits(self) -> DataFrame:
         return self._read("traits")
