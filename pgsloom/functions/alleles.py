@@ -14,10 +14,14 @@ def part(variant_id: Column, n: int) -> Column:
     return F.split_part(variant_id, F.lit(":"), F.lit(n))
 
 
+def md5_number(text: Column) -> Column:
+    """The first 60 bits of the MD5 of a text as a number: the same in every engine."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def allele_key(a: Column, b: Column) -> Column:
     """60-bit key of an unordered pair of alleles. Materialize it when data is written: joins are on integers then."""
-    pair = F.concat(F.least(a, b), F.lit(":"), F.greatest(a, b))
-    return F.conv(F.substring(F.md5(pair), 1, 15), 16, 10).cast("bigint")
+    return md5_number(F.concat(F.least(a, b), F.lit(":"), F.greatest(a, b)))
 
 
 def key_of_id(variant_id: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pgsloom.functions import alleles as A
+from pgsloom.operators import blocks, selection
 from pgsloom.operators.match import KEYS
+from pgsloom.sources.shared import cut
 
 
 def _two_sums(weight: Column, af: Column, expected: Column) -> tuple[Column, Column]:
@@ -101,9 +103,12 @@ def oriented(effect: Column, alt: Column, dosage: Column) -> Column:
 
 
 def empirical_scores(pack: DataFrame, matrix: DataFrame) -> DataFrame:
-    """(pgs_id, sample, score) over a reference panel in long form: one join by variant, sums before the shuffle."""
-    rows = pack.select(*KEYS, "pgs_id", "effect_allele", "effect_weight").join(matrix, KEYS)
-    return rows.groupBy("pgs_id", "sample").agg(F.sum(F.col("effect_weight") * oriented(F.col("effect_allele"), F.col("alt"), F.col("dosage"))).alias("score"))
+    """(pgs_id, sample, score) over a reference panel in long form, by blocks of variants (``operators/blocks.py``).
+
+    A sample whose genotypes are all missing has a score of 0 like one without copies.
+    """
+    samples = blocks.sample_names(matrix)
+    return blocks.long_form(blocks.block_scores(pack, blocks.panel_of(matrix, samples), len(samples)), samples)
 
 
 def empirical_norms(scores: DataFrame) -> DataFrame:
@@ -120,14 +125,15 @@ def raw_tier(pack: DataFrame, matrix: DataFrame, positions: DataFrame) -> DataFr
 def imputed_tier(pack: DataFrame, matrix: DataFrame, share: float = 0.6, least: int = 5, budget: int = 500_000, seed: int = 0) -> DataFrame:
     """Mean standard deviation over random subsets of the variants of each score.
 
-    A subset is the share of variants with the least hash of (score, round, seed, variant): the same on every run.
-    The number of rounds is between 3 and 10, fewer for larger scores.
+    A subset is the share of variants with the least MD5 of "seed:score:round:variant", so it is the same on every run and
+    in every engine. The number of rounds is between 3 and 10, fewer for larger scores.
     """
-    there = pack.select(*KEYS, "pgs_id", "effect_allele", "effect_weight").join(matrix.select(*KEYS).distinct(), KEYS, "left_semi")
+    samples = blocks.sample_names(matrix)
+    panel = cut(blocks.panel_of(matrix, samples))
+    there = cut(pack.select(*KEYS, "pgs_id", "effect_allele", "effect_weight").join(panel.select(*KEYS).distinct(), KEYS, "left_semi"))
     n = there.groupBy("pgs_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     n = n.withColumn("rounds", F.least(F.lit(10), F.greatest(F.lit(3), F.floor(F.lit(budget) / F.col("n"))))).withColumn("k", F.greatest(F.lit(1), F.round(F.col("n") * share).cast("long"))).filter("k < n")
     rows = there.join(n, "pgs_id").withColumn("round", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rounds"))))
-    order = Window.partitionBy("pgs_id", "round").orderBy(F.xxhash64("pgs_id", "round", F.lit(seed), *KEYS), *KEYS)
-    chosen = rows.withColumn("rank", F.row_number().over(order)).filter("rank <= k")
-    scored = chosen.join(matrix, KEYS).groupBy("pgs_id", "round", "sample").agg(F.sum(F.col("effect_weight") * oriented(F.col("effect_allele"), F.col("alt"), F.col("dosage"))).alias("score"))
+    chosen = selection.least_by_hash(rows, ["pgs_id", "round"], "k", A.md5_number(F.concat_ws(":", F.lit(seed), "pgs_id", "round", *KEYS)), [*KEYS, "effect_allele", "effect_weight"])
+    scored = blocks.long_form(blocks.block_scores(chosen, panel, len(samples), ("pgs_id", "round")), samples)
     return scored.groupBy("pgs_id", "round").agg(F.stddev_pop("score").alias("s")).groupBy("pgs_id").agg(F.avg("s").alias("s"), F.count("*").alias("rounds"))

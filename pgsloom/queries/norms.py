@@ -99,9 +99,15 @@ def tiered_norm_raw(t: Inputs) -> DataFrame:
     return norms.raw_tier(t.view("pack"), t.view("matrix"), t.view("dna").filter("not imputed")).select("pgs_id", *rounded("s"))
 
 
-@query("tiered_norm_imputed")
+@query("tiered_norm_imputed", """with p as (select * from fx_pack where (chr, pos, allele_key) in (select (chr, pos, allele_key) from fx_matrix)), n as (select pgs_id, count(*) as n from p group by pgs_id having count(*) >= 5),
+  k as (select *, cast(least(10, greatest(3, floor(500000 / n))) as bigint) as rounds, cast(greatest(1, round(n * 6e-1)) as bigint) as k from n), e as (select p.*, k.k, unnest(generate_series(1, k.rounds)) as round from p join k on k.pgs_id = p.pgs_id where k.k < k.n),
+  h as (select *, ('0x' || md5(concat_ws(':', '0', pgs_id, cast(round as string), cast(chr as string), cast(pos as string), cast(allele_key as string)))[:15])::bigint as h from e),
+  c as (select *, row_number() over (partition by pgs_id, round order by h, chr, pos, allele_key) as rk from h),
+  s as (select c.pgs_id, c.round, m.sample, sum(c.effect_weight * case when m.dosage is null then 0 when c.effect_allele = m.alt then m.dosage else 2 - m.dosage end) as score
+    from c join fx_matrix m on c.chr = m.chr and c.pos = m.pos and c.allele_key = m.allele_key where c.rk <= c.k group by 1, 2, 3),
+  r as (select pgs_id, round, stddev_pop(score) as s from s group by 1, 2) select pgs_id, round(avg(s), 6) as s, count(*) as rounds from r group by pgs_id""")
 def tiered_norm_imputed(t: Inputs) -> DataFrame:
-    return norms.imputed_tier(t.view("pack"), t.view("matrix"))
+    return norms.imputed_tier(t.view("pack"), t.view("matrix")).select("pgs_id", *rounded("s"), "rounds")
 
 
 DENSITY = "with s as (select pgs_id, norm_mean, norm_sd, unnest(generate_series(0, 24)) as i from fx_pgs_scores where norm_sd > 0), z as (select *, -4e0 + (i + 5e-1) * 32e-2 as z from s), d as (select *, exp(-5e-1 * z * z) / (norm_sd * sqrt(2e0 * pi())) as d from z)"

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pgsloom.plans.fixtures import Inputs
 from pgsloom.queries.base import query
+from pgsloom.sources.shared import new_folder
 from pgsloom.streaming import events, scoring
 
 
 def scratch(t: Inputs) -> str:
-    """A new folder that driver and executors share: below the session's checkpoint folder, a temporary one without it."""
-    base = t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
-    return re.sub(r"^file:/+", "file:///", f"{base}/stream-{uuid.uuid4().hex}")
+    """A new folder that driver and executors share."""
+    return new_folder(t.spark, "stream")
 
 
 def source(t: Inputs) -> DataFrame:
