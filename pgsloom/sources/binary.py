@@ -1,68 +1,46 @@
-"""Formats that need more than columns: two-bit genotype matrices and alignment chains."""
+"""Alignment chains: liftover blocks by running sums over lines."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pgsloom.functions.alleles import chromosome_code
+from pgsloom.sources.bed import read_bed  # noqa: F401
 
-def read_bed(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
-    """(variant, sample, dosage) of a variant-major .bed file; missing genotypes are null.
-
-    Files are cut into variants before Python sees them, so a task holds a batch of variants, not a file's matrix.
-    """
-    width = (n_samples + 3) // 4
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    n = ((F.length("content") - 3) / width).cast("int")
-    rows = files.select("file", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("variant"))
-    rows = rows.select("file", "variant", F.substring(F.col("content"), F.lit(4) + F.col("variant") * width, F.lit(width)).alias("bytes"))
-
-    def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        code = np.array([2, -1, 1, 0], np.int16)  # 00, 01 (missing), 10, 11
-        for part in parts:
-            if part.num_rows:
-                raw = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, width)
-                calls = code[(raw[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3].reshape(len(raw), -1)[:, :n_samples]
-                flat = calls.ravel()
-                at = pa.array(np.repeat(np.arange(part.num_rows), n_samples))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(np.tile(np.arange(n_samples, dtype=np.int32), part.num_rows)), pa.array(flat, mask=flat < 0)], names=["file", "variant", "sample", "dosage"])
 
-    return rows.mapInArrow(decode, "file string, variant int, sample int, dosage smallint")
+def lines_in_order(spark: SparkSession, paths: str) -> DataFrame:
+    """(file, block, n, value): lines of text files with the split that each is in and its order in there."""
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    return spark.read.text(paths).select(*at, F.monotonically_increasing_id().alias("n"), "value")
 
 
-def chain_blocks(text: str) -> Iterator[tuple[str, int, int, int]]:
-    """(chromosome, start, end, offset) of the ungapped blocks of chains that stay on one chromosome and strand."""
-    name, at, to = None, 0, 0
-    for line in text.split("\n"):
-        f = line.split()
-        if not f:
-            name = None
-        elif f[0] == "chain":
-            name = f[2] if f[2] == f[7] and f[4] == f[9] == "+" else None
-            at, to = int(f[5]), int(f[10])
-        elif name is not None:
-            size = int(f[0])
-            yield name, at, at + size, to - at
-            if len(f) == 3:
-                at, to = at + size + int(f[1]), to + size + int(f[2])
+def read_chain(spark: SparkSession, paths: str) -> DataFrame:
+    """(chr, hg19_start, hg19_end, hg38_offset): the ungapped blocks of chains that stay on one chromosome and strand.
 
-
-def read_chain(spark: SparkSession, path: str) -> DataFrame:
-    """Liftover blocks of chain files; a chain is read in order, so a file is one task."""
-    files = spark.read.text(path, wholetext=True)
-
-    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            rows = [b for t in part.column(0).to_pylist() for b in chain_blocks(t)]
-            columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32()))], names=["name", "hg19_start", "hg19_end", "hg38_offset"])
-
-    from pgsloom.functions.alleles import chromosome_code
-
-    blocks = files.mapInArrow(parse, "name string, hg19_start int, hg19_end int, hg38_offset int")
-    return blocks.withColumn("chr", chromosome_code(F.col("name"))).filter("chr is not null").drop("name")
+    Files are split like any text. Each line gets its chain: the last header before it in its split, or the last one of the
+    splits before (one row a split). Starts of blocks are then running sums of sizes and gaps over the lines of a chain,
+    so that no file is read as a whole; a blank line ends a chain.
+    """
+    f = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    field = lambda i: F.get(f, F.lit(i))
+    lines = lines_in_order(spark, paths).filter(~F.trim("value").startswith("#"))
+    header = F.struct("block", "n", *[field(i).alias(f"f{i}") for i in (2, 4, 5, 7, 9, 10)])
+    blank = F.trim("value") == ""
+    # where a chain begins or ends: its header, or a null after it
+    lines = lines.withColumn("mark", F.when(field(0) == "chain", F.struct(F.lit(True).alias("open"), header.alias("h"))).when(blank, F.struct(F.lit(False).alias("open"), F.lit(None).cast(lines.select(header.alias("h")).schema["h"].dataType).alias("h"))))
+    own = Window.partitionBy("file", "block").orderBy("n")
+    lines = lines.withColumn("own", F.last("mark", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    splits = lines.groupBy("file", "block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("n"))).alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = splits.select("file", "block", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    lines = lines.join(carried, ["file", "block"]).withColumn("h", F.coalesce("own", "carried")["h"])
+    rows = lines.filter(F.col("h").isNotNull() & (field(0) != "chain") & ~blank).filter((F.col("h.f2") == F.col("h.f7")) & (F.col("h.f4") == "+") & (F.col("h.f9") == "+"))
+    number = lambda i: F.coalesce(field(i).cast("long"), F.lit(0).cast("long"))
+    rows = rows.select("file", "h", "block", "n", number(0).alias("size"), number(1).alias("gap"), number(2).alias("other_gap"))
+    chain = Window.partitionBy("file", "h.block", "h.n").orderBy("block", "n").rowsBetween(Window.unboundedPreceding, -1)
+    moved = lambda gap: F.coalesce(F.sum(F.col("size") + F.col(gap)).over(chain), F.lit(0))
+    rows = rows.select("h", "size", moved("gap").alias("a"), moved("other_gap").alias("b"))
+    start, to = F.col("h.f5").cast("long") + F.col("a"), F.col("h.f10").cast("long") + F.col("b")
+    out = rows.select(chromosome_code(F.col("h.f2")).alias("chr"), start.cast("int").alias("hg19_start"), (start + F.col("size")).cast("int").alias("hg19_end"), (to - start).cast("int").alias("hg38_offset"))
+    return out.filter("chr is not null")

@@ -46,24 +46,48 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*_calls(v["rsid"], v["chromosome"].cast("string"), v["position"].cast("string"), v["allele1"], v["allele2"]))
 
 
-def read_vcf(spark: SparkSession, path: str, key: str = "GT") -> DataFrame:
-    """(chr, pos, ref, alt, sample, value) for one FORMAT key of each sample; rows of several ALT alleles are dropped.
-
-    Samples are numbered as in the header line.
-    """
+def vcf_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(chr, pos, ref, alt, format, samples) of each record: FORMAT keys and the texts of the samples; several ALT alleles are dropped."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("#"))
     f = F.split("value", "\t")
     rows = lines.select(A.chromosome_code(F.get(f, F.lit(0))).alias("chr"), F.get(f, F.lit(1)).try_cast("int").alias("pos"), F.get(f, F.lit(3)).alias("ref"), F.get(f, F.lit(4)).alias("alt"), F.split(F.get(f, F.lit(8)), ":").alias("format"), F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))).alias("samples"))
-    rows = rows.filter(~F.col("alt").contains(",")).select("chr", "pos", "ref", "alt", F.array_position("format", key).alias("k"), F.posexplode("samples").alias("sample", "text"))
-    return rows.filter("k > 0").select("chr", "pos", "ref", "alt", "sample", F.get(F.split("text", ":"), (F.col("k") - 1).cast("int")).alias("value"))
+    return rows.filter(~F.col("alt").contains(","))
+
+
+def vcf_value(text: Column, key: str) -> Column:
+    """A sample's value of a FORMAT key; null where the record or the sample lacks it."""
+    return F.get(F.split(text, ":"), (F.array_position("format", key) - 1).cast("int"))
+
+
+def read_vcf(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """(chr, pos, ref, alt, sample, a column a key) for the FORMAT keys of each sample, GT alone under the name ``value`` by default.
+
+    One scan for any number of keys; a record that has none of them is left out. Samples are numbered as in the header line.
+    """
+    names = dict.fromkeys(keys) if len(keys) > 1 else {(keys or ("GT",))[0]: "value"}
+    there = F.lit(False)
+    for k in names:
+        there = there | F.array_contains("format", k)
+    rows = vcf_lines(spark, path).filter(there).select("chr", "pos", "ref", "alt", "format", F.posexplode("samples").alias("sample", "text"))
+    return rows.select("chr", "pos", "ref", "alt", "sample", *[vcf_value(F.col("text"), k).alias(name or k.lower()) for k, name in names.items()])
 
 
 def read_dosages(spark: SparkSession, path: str) -> DataFrame:
-    """Imputed calls of a VCF: dosage and genotype posteriors."""
-    keys = ["chr", "pos", "ref", "alt", "sample"]
-    ds = read_vcf(spark, path, "DS").withColumn("ds", F.col("value").try_cast("double")).drop("value")
-    gp = read_vcf(spark, path, "GP").withColumn("p", F.split("value", ",")).drop("value")
-    return ds.join(gp, keys).select(*keys, "ds", *[F.get("p", F.lit(i)).try_cast("double").alias(f"gp{i + 1}") for i in range(3)])
+    """Imputed calls of a VCF: dosage and genotype posteriors, of records that have both."""
+    rows = vcf_lines(spark, path).filter(F.array_contains("format", "DS") & F.array_contains("format", "GP"))
+    rows = rows.select("chr", "pos", "ref", "alt", "format", F.posexplode("samples").alias("sample", "text"))
+    p = F.split(vcf_value(F.col("text"), "GP"), ",")
+    return rows.select("chr", "pos", "ref", "alt", "sample", vcf_value(F.col("text"), "DS").try_cast("double").alias("ds"), *[F.get(p, F.lit(i)).try_cast("double").alias(f"gp{i + 1}") for i in range(3)])
+
+
+def read_panel(spark: SparkSession, path: str) -> DataFrame:
+    """(chr, pos, allele_key, alt, at, dosages): genotypes of a VCF as arrays, a row a record, for scoring by blocks.
+
+    Samples that are not called are not in the arrays.
+    """
+    call = lambda text, i: F.when(~vcf_value(text, "GT").contains("."), F.struct(i.alias("at"), A.genotype_dosage(vcf_value(text, "GT")).cast("double").alias("dosage")))
+    rows = vcf_lines(spark, path).filter(F.array_contains("format", "GT")).withColumn("c", F.array_compact(F.transform("samples", call)))
+    return rows.select("chr", "pos", A.allele_key(F.col("ref"), F.col("alt")).alias("allele_key"), "alt", F.col("c.at").alias("at"), F.col("c.dosage").alias("dosages"))
 
 
 def unified(calls: DataFrame, individual_id: str) -> DataFrame:

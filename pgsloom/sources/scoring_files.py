@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +35,46 @@ def read_headerless(spark: SparkSession, path: str, names: list[str]) -> DataFra
     return spark.read.csv(path, sep="\t", header=False, comment="#", inferSchema=False).toDF(*names)
 
 
-def headers(spark: SparkSession, paths: str) -> DataFrame:
-    """(file, header) of many files in one pass: the first line in use of each."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
-    used = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).filter("block = 0")
-    return used.groupBy("file").agg(F.min_by("value", "n").alias("header"))
+def headers(spark: SparkSession, paths: str | list[str], step: int = 1 << 16) -> DataFrame:
+    """(file, header, bytes_read) of many files: the first line that is neither blank nor a comment.
+
+    Files are listed by Spark, which reads no content for that; a task opens each of its files and reads, and unpacks if the
+    name ends in .gz or .bgz, no more than ``step`` bytes at a time until the line is complete. So what is read does not grow with the
+    files. A file without such a line is left out.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    tasks = max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism))
+
+    def first(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for path, length in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                store, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                packed = name.endswith((".gz", ".bgz"))
+                with store.open_input_file(name) as file:
+                    line, read = first_line(lambda at, n: file.read_at(n, at), length, step, packed)
+                if line is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([line]), pa.array([read], pa.int64())], names=["file", "header", "bytes_read"])
+
+    return files.repartition(tasks, "path").mapInArrow(first, "file string, header string, bytes_read bigint")
+
+
+def first_line(read_at: Callable[[int, int], bytes], length: int, step: int, packed: bool) -> tuple[str | None, int]:
+    """The first line in use of a file that is read piece by piece, and how many bytes that took."""
+    unpack, at, rest = zlib.decompressobj(31) if packed else None, 0, b""
+    while at < length:
+        piece = read_at(at, min(step, length - at))
+        at += len(piece)
+        while piece:
+            rest += unpack.decompress(piece) if unpack else piece
+            piece = unpack.unused_data if unpack and unpack.eof else b""
+            if piece:  # the next member of a file in blocks
+                unpack = zlib.decompressobj(31)
+        *lines, rest = rest.split(b"\n")
+        for line in lines if at < length else [*lines, rest]:
+            text = line.decode(errors="replace").rstrip("\r")
+            if text.strip() and not text.startswith("#"):
+                return text, at
+    return None, at
 
 
 def read_scores(spark: SparkSession, paths: str, pgs_id: str = r"(PGS\d{6})") -> DataFrame:
