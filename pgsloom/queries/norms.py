@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pgsloom.functions import statistics as S
-from pgsloom.operators import norms
+from pgsloom.operators import norms, regression
 from pgsloom.plans.fixtures import Inputs
 from pgsloom.queries.base import query, rounded
 
@@ -148,3 +148,20 @@ def theoretical_distribution(t: Inputs) -> DataFrame:
 def pc_residual(t: Inputs) -> DataFrame:
     k = F.col("c_custkey")
     return t.table("customer").select(k.alias("k"), F.round(S.residual(F.col("c_acctbal") * 1e-3, [k % 7, k % 5], [0.2, -0.3], 0.1), 6).alias("residual"))
+
+
+PCS = "select c_nationkey as k, c_custkey as person, c_acctbal * 1e-3 as score, c_custkey % 7 * 1e0 as pc1, c_custkey % 5 * 1e0 + c_acctbal * 1e-4 as pc2 from customer"
+FIT = f"""p as ({PCS}), m as (select k, count(*) as n, avg(score) as my, avg(pc1) as m1, avg(pc2) as m2, covar_pop(pc1, pc1) as v1, covar_pop(pc2, pc2) as v2, covar_pop(pc1, pc2) as v12, covar_pop(pc1, score) as c1, covar_pop(pc2, score) as c2 from p group by k),
+  b as (select *, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) as b1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) as b2 from m)"""
+
+
+@query("pc_fit", f"with {FIT} select k, n, round(my - b1 * m1 - b2 * m2, 6) as intercept, round(b1, 6) as b1, round(b2, 6) as b2 from b")
+def pc_fit(t: Inputs) -> DataFrame:
+    c = F.col("coefficients")
+    return regression.fit(t.sql(PCS), ["k"], "score", ["pc1", "pc2"]).select("k", "n", *rounded("intercept"), F.round(c[0], 6).alias("b1"), F.round(c[1], 6).alias("b2"))
+
+
+@query("pc_fit_residuals", f"with {FIT} select p.person, round(p.score - (my - b1 * m1 - b2 * m2) - b1 * p.pc1 - b2 * p.pc2, 5) as residual from p join b on b.k = p.k")
+def pc_fit_residuals(t: Inputs) -> DataFrame:
+    rows, xs = t.sql(PCS), ["pc1", "pc2"]
+    return regression.residuals(rows, regression.fit(rows, ["k"], "score", xs), ["k"], "score", xs).select("person", F.round("residual", 5).alias("residual"))
