@@ -135,7 +135,7 @@ def quality_analysis(filtered: DataFrame, weights: DataFrame) -> DataFrame:
 
 def allowlist(traits: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """Traits of a tier; without a list all of them."""
-    return traits if allowed is None else traits.join(F.broadcast(allowed), "trait_id", "left_semi")
+    return traits if allowed is None else traits.join(allowed, "trait_id", "left_semi")
 
 
 def find_traits(traits: DataFrame, wanted: list[str]) -> DataFrame:
@@ -144,7 +144,7 @@ def find_traits(traits: DataFrame, wanted: list[str]) -> DataFrame:
 
 def suggest_references(traits: DataFrame, references: DataFrame) -> DataFrame:
     """The first reference whose keyword is in a trait's name; references are a short fixed table."""
-    rows = traits.join(F.broadcast(references), F.contains(F.lower("name"), "keyword"))
+    rows = traits.join(references, F.contains(F.lower("name"), "keyword"))
     return rows.groupBy("trait_id").agg(F.min_by("reference", "priority").alias("reference"))
 
 

@@ -23,7 +23,7 @@ def best_r2(performance: DataFrame) -> DataFrame:
 
 def registered(people: DataFrame, trait_pgs: DataFrame) -> DataFrame:
     """Every person with every registered score: scores without any match appear as well."""
-    return people.select("individual_id").distinct().crossJoin(F.broadcast(trait_pgs.select("trait_id", "pgs_id").distinct()))
+    return people.select("individual_id").distinct().crossJoin(trait_pgs.select("trait_id", "pgs_id").distinct())
 
 
 def pgs_results(aggregates: DataFrame, totals: DataFrame, scores: DataFrame, r2: DataFrame, trait_pgs: DataFrame, people: DataFrame) -> DataFrame:
@@ -84,15 +84,20 @@ def runner_up(results: DataFrame) -> DataFrame:
 def trait_results(results: DataFrame, traits: DataFrame) -> DataFrame:
     """A row for each person and trait: z, percentile, confidence and value of the best score.
 
-    Without a best score z is the mean weighted by performance over sufficient, empirical, not extreme scores.
+    Without a best score z is the mean weighted by performance over sufficient, empirical, not extreme scores. Sums and
+    the best score come from one aggregate, so results are read once and combined before the shuffle.
     """
     good = ~F.col("insufficient_data") & ~F.col("insufficient_empirical") & (F.abs("z_score") <= Q.MOST_SIGMA)
+    first, quality, pgs = _choice()
+    place = F.when(first < 2, F.struct(first.alias("c"), (-F.col("quality_score")).alias("q"), pgs.alias("p")))  # null: not to be chosen
     whole = results.groupBy("individual_id", "trait_id").agg(
         F.sum("matched_variants").alias("total_matched"), F.sum("total_variants").alias("total_expected"),
         F.sum(F.when(good, F.col("z_score") * F.col("performance"))).alias("zw"), F.sum(F.when(good, F.col("performance"))).alias("w"),
+        F.min_by(F.struct("pgs_id", "z_score", "percentile", "confidence", "performance", "quality_score"), place).alias("best"),
     )
-    best = best_pgs(results).select("individual_id", "trait_id", F.col("pgs_id").alias("best_pgs_id"), F.col("z_score").alias("best_z"), F.col("percentile").alias("best_percentile"), F.col("confidence").alias("best_confidence"), F.col("performance").alias("best_performance"), F.col("quality_score").alias("best_quality"))
-    rows = whole.join(best, ["individual_id", "trait_id"], "left").join(traits.select("trait_id", "trait_type", "phenotype_mean", "phenotype_sd"), "trait_id")
+    named = {"best_pgs_id": "pgs_id", "best_z": "z_score", "best_percentile": "percentile", "best_confidence": "confidence", "best_performance": "performance", "best_quality": "quality_score"}
+    whole = whole.select("individual_id", "trait_id", "total_matched", "total_expected", "zw", "w", *[F.col(f"best.{c}").alias(n) for n, c in named.items()])
+    rows = whole.join(traits.select("trait_id", "trait_type", "phenotype_mean", "phenotype_sd"), "trait_id")
     rows = rows.withColumn("overall_z", F.coalesce("best_z", F.try_divide("zw", "w")))
     rows = rows.withColumn("overall_percentile", F.coalesce("best_percentile", F.when(F.col("overall_z") != 0, S.percentile(F.col("overall_z")))))
     value = F.when(F.col("trait_type") == "quantitative", Q.quantitative_value(F.col("phenotype_mean"), F.col("phenotype_sd"), F.col("overall_z"), F.coalesce("best_performance", F.lit(Q.DEFAULT_R2))))

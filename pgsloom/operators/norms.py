@@ -33,15 +33,17 @@ def norm_from_file(pack: DataFrame, af_column: str | None = None) -> DataFrame:
     return pack.groupBy("pgs_id").agg(F.sum(w * 2.0 * af).alias("mean"), F.sqrt(F.sum(w * w * 2.0 * af * (1.0 - af))).alias("sd"))
 
 
-def join_frequencies(pack: DataFrame, af: DataFrame) -> DataFrame:
+def join_frequencies(pack: DataFrame, af: DataFrame, few: int = 0) -> DataFrame:
     """Pack rows with the frequency of their variant, if there is one.
 
-    Positions are few beside a genome-wide frequency table, so that table is first reduced to the pack's positions.
+    One join by integer keys. Where a pack has at most ``few`` rows, they are counted first and the frequencies are
+    reduced to their positions before the join, so that a genome-wide table need not be dealt out.
     """
     if "allele_key" not in pack.columns:
         pack = pack.withColumn("allele_key", A.key_of_id(F.col("variant_id")))
-    near = af.join(pack.select(*KEYS).distinct(), KEYS, "left_semi").withColumnRenamed("variant_id", "af_variant_id")
-    return pack.join(near, KEYS, "left")
+    if few and pack.limit(few + 1).count() <= few:
+        af = af.join(F.broadcast(pack.select(*KEYS).distinct()), KEYS, "left_semi")
+    return pack.join(af.withColumnRenamed("variant_id", "af_variant_id"), KEYS, "left")
 
 
 def norm_oriented(pack: DataFrame, af: DataFrame) -> DataFrame:

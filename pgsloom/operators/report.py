@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pgsloom.sources.shared import cut
+
 LAST_CATEGORY = "Other Conditions"
 
 
@@ -64,25 +64,30 @@ def problematic(results: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def validation(results: DataFrame, traits: DataFrame) -> DataFrame:
-    """(name, pass, detail) of seven checks over stored results."""
+    """(name, pass, detail) of seven checks over stored results.
+
+    Results are summed up once; trait results once by trait, which gives the spread, the traits without a best score and
+    their number, and once by person.
+    """
     rate = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(0.0))
-    people = traits.groupBy("individual_id").agg(F.countDistinct("trait_id").alias("n")).crossJoin(traits.agg(F.countDistinct("trait_id").alias("all")))
-    checks = [people.select(F.concat("individual_id", F.lit(" has all traits")).alias("name"), (F.col("n") == F.col("all")).alias("pass"), F.concat_ws("/", "n", "all").alias("detail"))]
     total = results.agg(
         F.count_if(F.abs("z_score") > 10).alias("extreme"), F.count("z_score").alias("scored"), F.count_if(F.col("total_variants") == 0).alias("empty"),
         F.count_if((F.col("matched_variants") > F.col("total_variants")) & (F.col("total_variants") > 0)).alias("over"), F.count_if("insufficient_data").alias("poor"), F.count("*").alias("rows"),
     )
-    spread = traits.groupBy("trait_id").agg((F.max("overall_z") - F.min("overall_z")).alias("spread"))
-    one = lambda df, name, passed, detail: df.select(F.lit(name).alias("name"), passed.alias("pass"), detail.cast("string").alias("detail"))
-    checks += [
-        one(total, "extreme z below 5%", rate(F.col("extreme"), F.col("scored")) < 0.05, F.concat_ws("/", "extreme", "scored")),
-        one(traits.agg(F.count_if(F.col("best_pgs_id").isNull()).alias("n")), "every trait has a best score", F.col("n") == 0, F.col("n")),
-        one(spread.agg(F.count_if(F.col("spread") > 10).alias("n")), "z spread below 10", F.col("n") == 0, F.col("n")),
-        one(total, "no score without variants", F.col("empty") == 0, F.col("empty")),
-        one(total, "matched not above expected", F.col("over") == 0, F.col("over")),
-        one(total, "insufficient below 20%", rate(F.col("poor"), F.col("rows")) < 0.2, F.concat_ws("/", "poor", "rows")),
+    by_trait = traits.groupBy("trait_id").agg((F.max("overall_z") - F.min("overall_z")).alias("spread"), F.count_if(F.col("best_pgs_id").isNull()).alias("without"))
+    whole = by_trait.agg(F.count("trait_id").alias("all"), F.count_if(F.col("spread") > 10).alias("wide"), F.coalesce(F.sum("without"), F.lit(0)).alias("without"))
+    check = lambda name, passed, detail: F.struct(F.lit(name).alias("name"), passed.alias("pass"), detail.cast("string").alias("detail"))
+    checks = [
+        check("extreme z below 5%", rate(F.col("extreme"), F.col("scored")) < 0.05, F.concat_ws("/", "extreme", "scored")),
+        check("every trait has a best score", F.col("without") == 0, F.col("without")),
+        check("z spread below 10", F.col("wide") == 0, F.col("wide")),
+        check("no score without variants", F.col("empty") == 0, F.col("empty")),
+        check("matched not above expected", F.col("over") == 0, F.col("over")),
+        check("insufficient below 20%", rate(F.col("poor"), F.col("rows")) < 0.2, F.concat_ws("/", "poor", "rows")),
     ]
-    return reduce(DataFrame.unionByName, checks)
+    people = traits.groupBy("individual_id").agg(F.countDistinct("trait_id").alias("n")).crossJoin(whole.select("all"))
+    complete = people.select(F.concat("individual_id", F.lit(" has all traits")).alias("name"), (F.col("n") == F.col("all")).alias("pass"), F.concat_ws("/", "n", "all").alias("detail"))
+    return complete.unionByName(total.crossJoin(whole).select(F.inline(F.array(*checks))))
 
 
 def results_summary(trait_results: DataFrame, traits: DataFrame, results: DataFrame) -> DataFrame:
@@ -152,10 +157,22 @@ def run_estimate(runs: DataFrame, jobs: DataFrame, key: str = "trait_id", recent
     return jobs.crossJoin(F.broadcast(rate)).join(own, key, "left").select(key, F.when(F.col("own").isNotNull(), base * 0.6 + F.col("own") * 0.4).otherwise(base).alias("estimate"))
 
 
+def places(rows: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """Number rows from 1 in an order that has no ties, without one task that sorts them all.
+
+    Ranges of the order are sorted where they are dealt to, written once, and numbered from the counts of the ranges before.
+    """
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__range", F.spark_partition_id())
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))  # a row a range
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.join(before, "__range").withColumn(out, (F.col("__before") + inside).cast("int")).drop("__range", "__before")
+
+
 def queue_order(queue: DataFrame) -> DataFrame:
     """One entry a job (the highest priority), running ones first, then by priority and age."""
     jobs = queue.groupBy("individual_id", "trait_id").agg(F.max("priority").alias("priority"), F.min("added").alias("added"), F.max("running").alias("running"))
-    return jobs.withColumn("place", F.row_number().over(Window.orderBy(F.col("running").desc(), F.col("priority").desc(), "added", "individual_id", "trait_id")))
+    return places(jobs, [F.col("running").desc(), F.col("priority").desc(), F.col("added"), F.col("individual_id"), F.col("trait_id")])
 
 
 def phases(samples: DataFrame) -> DataFrame:

@@ -28,8 +28,8 @@ def delete_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def skip_existing(people: DataFrame, traits: DataFrame, done: DataFrame) -> DataFrame:
-    """(individual_id, trait_id) still to be computed; traits are a short list beside the people."""
-    return people.select("individual_id").distinct().crossJoin(F.broadcast(traits.select("trait_id").distinct())).join(done, ["individual_id", "trait_id"], "left_anti")
+    """(individual_id, trait_id) still to be computed."""
+    return people.select("individual_id").distinct().crossJoin(traits.select("trait_id").distinct()).join(done, ["individual_id", "trait_id"], "left_anti")
 
 
 def nested(trait_results: DataFrame, pgs_results: DataFrame) -> DataFrame:

@@ -169,7 +169,10 @@ def changed_metadata(t: Inputs) -> DataFrame:
     return catalog.changed(t.view("traits"), new, "trait_id", ["name", "category"]).select("trait_id")
 
 
-@query("manifest")
+@query("manifest", """with c as (select trait_id, count(s.norm_sd) as normalized, string_agg(concat('{"pgs_id":"', p.pgs_id, '","r2":', cast(coalesce(r.r2, 5e-2) as string), '}'), ',' order by p.pgs_id) as scores
+  from fx_trait_pgs p left join fx_pgs_scores s on s.pgs_id = p.pgs_id left join fx_r2 r on r.pgs_id = p.pgs_id group by trait_id)
+  select t.trait_id, concat('{"name":"', t.name, '","category":"', t.category, '","trait_type":"', t.trait_type, '"', case when c.normalized is not null then concat(',"normalized":', cast(c.normalized as string)) else '' end, case when c.scores is not null then concat(',"scores":[', c.scores, ']') else '' end, '}') as document
+  from fx_traits t left join c on c.trait_id = t.trait_id""")
 def manifest(t: Inputs) -> DataFrame:
     return catalog.manifest(t.view("traits"), catalog.trait_config(t.view("trait_pgs"), t.view("pgs_scores")), finalize.best_r2(t.view("pgs_performance")), t.view("trait_pgs"))
 

@@ -90,9 +90,16 @@ def infer_other_allele(t: Inputs) -> DataFrame:
     return etl.infer_other_allele(etl.harmonize(raw(t, etl.SNP_NO_RSID)), t.sql(REFERENCE)).select("pgs_id", "variant_id", "other_allele")
 
 
-@query("etl")
+WHOLE = (etl.DOSAGE, etl.HARMONIZED, etl.SNP, etl.SNP_NO_RSID)
+
+
+@query("etl", f"""with h as ({' union all '.join(f'select pgs_id, variant_id, effect_allele, effect_weight from ({sql(layout)}) q{i}' for i, layout in enumerate(WHOLE))}),
+  s as (select *, split_part(variant_id, ':', 3) as a, split_part(variant_id, ':', 4) as b, split_part(variant_id, ':', 1) as c from h where effect_weight is not null and trim(coalesce(variant_id, '')) <> '' and trim(effect_allele) <> '')
+  select distinct variant_id, effect_allele, effect_weight, pgs_id, case c when 'X' then 23 when 'Y' then 24 when 'MT' then 25 else try_cast(c as int) end as chr, try_cast(split_part(variant_id, ':', 2) as int) as pos,
+  ('0x' || md5(concat(least(a, b), ':', greatest(a, b)))[:15])::bigint as allele_key from s where not contains(c, '_')""")
 def whole_etl(t: Inputs) -> DataFrame:
-    return etl.etl([raw(t, layout) for layout in (etl.DOSAGE, etl.HARMONIZED, etl.SNP, etl.SNP_NO_RSID)])
+    rows = etl.etl([raw(t, layout) for layout in WHOLE])
+    return rows.withColumn("effect_weight", F.round("effect_weight", 6)).distinct()
 
 
 @query("pack_manifest", "select chr, count(*) as variants, count(distinct pgs_id) as scores, min(pos) as first_pos, max(pos) as last_pos from fx_pack group by chr")

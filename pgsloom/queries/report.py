@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pgsloom.functions import display as D
-from pgsloom.operators import report, results
+from pgsloom.operators import finalize, report, results
 from pgsloom.plans.fixtures import Inputs
 from pgsloom.queries import scoring
 from pgsloom.queries.base import query, rounded
+from pgsloom.sources.shared import cut
 
 
 @query("results_summary", """select r.individual_id, r.trait_id, t.name, t.category, r.best_pgs_id, round(r.overall_z, 4) as z_score, b.genotyped_variants as best_genotyped, b.imputed_variants as best_imputed, b.matched_variants as best_matched
@@ -69,7 +70,8 @@ def problematic_pgs_methods(t: Inputs) -> DataFrame:
   union all select 'extreme z below 5%', extreme * 1e0 / scored < 5e-2, extreme || '/' || scored from s union all select 'every trait has a best score', k = 0, cast(k as string) from m union all select 'z spread below 10', k = 0, cast(k as string) from d
   union all select 'no score without variants', empty = 0, cast(empty as string) from s union all select 'matched not above expected', over = 0, cast(over as string) from s union all select 'insufficient below 20%', poor * 1e0 / rows < 2e-1, poor || '/' || rows from s""")
 def validation(t: Inputs) -> DataFrame:
-    return report.validation(scoring.results(t), scoring.trait_results(t))
+    done = cut(scoring.results(t))  # stored results
+    return report.validation(done, cut(finalize.trait_results(done, t.view("traits"))))
 
 
 @query("category_report", "select category, count(distinct r.trait_id) as traits, round(avg(overall_percentile), 6) as mean_percentile, count(*) filter (where overall_percentile > 75) as elevated, count(*) filter (where overall_percentile < 25) as low from fx_trait_results r join fx_traits t on t.trait_id = r.trait_id group by category")
