@@ -16,6 +16,8 @@ white space; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,15 +42,64 @@ BEST = "struct(-n_points as n, doc_id is null as z, doc_id as d)"
 
 
 class DigestIndex:
-    """Tables ``name`` (digest, keep_id, keep_points, n, batch), a row a digest, and ``name_later``, a row a digest and later batch."""
+    """Tables ``name`` (digest, keep_id, keep_points, n, batch), a row a digest, and ``name_later``, a row a digest and later batch.
+
+    An index is known by its folder, not by the session's catalog: the folder holds both tables' files and a small list of
+    the batches that are in it, and a session that opens it again registers the tables with their buckets as they are. A
+    batch counts from the moment it is in that list; what a batch left that broke off before is never read. A folder
+    that has files but no list is refused.
+    """
+
+    LIST = "batches.json"
 
     def __init__(self, spark: SparkSession, name: str, buckets: int = 32, folder: str | None = None):
-        self.spark, self.name, self.buckets = spark, name, buckets
-        self.folder = folder or shared_folder(spark, name)
+        self.spark, self.name = spark, name
+        self.folder = (folder or shared_folder(spark, name)).rstrip("/")
+        self.about = self._load() or {"buckets": buckets, "schema": None, "batches": {}}
+        self.buckets = self.about["buckets"]
+        if self.about["schema"]:
+            for table in (name, f"{name}_later"):
+                self._register(table)
+
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _load(self) -> dict | None:
+        store, path = self._path(self.LIST)
+        if store.exists(path):
+            return json.loads(self.spark.read.text(path.toString(), wholetext=True).first()[0])
+        store, path = self._path()
+        if store.exists(path) and len(store.listStatus(path)):
+            raise ValueError(f"{self.folder} has files that are no index")
+        return None
+
+    def _save(self) -> None:
+        """Write the list under another name and put it in place of the old one by one rename."""
+        (store, path), (_, new) = self._path(self.LIST), self._path(f".{uuid.uuid4().hex}")
+        out = store.create(new, False)
+        try:
+            out.write(json.dumps(self.about).encode())
+        finally:
+            out.close()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        options = self.spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+        options[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(store.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, path, options)
+
+    def _register(self, table: str) -> None:
+        """Make a table of this folder known to the session, with the buckets that its files were written in."""
+        where = f"{self.folder}/{'later' if table.endswith('_later') else 'first'}"
+        if self.spark.catalog.tableExists(table):
+            known = next(r["data_type"] for r in self.spark.sql(f"DESCRIBE FORMATTED {table}").collect() if r["col_name"] == "Location")
+            if re.sub("^file:/+", "/", known) != re.sub("^file:/+", "/", where):
+                raise ValueError(f"the session has a table {table} in {known}")
+            return
+        self.spark.sql(f"CREATE TABLE {table} ({self.about['schema']}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{where}'")
 
     def _append(self, rows: DataFrame, name: str) -> None:
         # one file a bucket and batch, as rows were dealt by the hash that also picks the bucket
-        rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.folder}/{name}").mode("append").saveAsTable(name)
+        rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(name)
 
     def drop(self) -> None:
         """Forget the index and delete its files."""
@@ -56,30 +107,37 @@ class DigestIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, self.folder)
 
-    def _has(self, name: str) -> bool:
-        return self.spark.catalog.tableExists(name)
+    def _rows(self, name: str) -> DataFrame:
+        """The rows of a table that belong to a listed batch."""
+        return self.spark.table(name).filter(F.col("batch").isin(list(self.about["batches"].values())))
 
     def add(self, found: DataFrame, batch: str) -> None:
         """Append the digests (doc_id, digest, n_points) of a batch: new ones by anti-join to the index, the others beside it."""
-        groups = winners(found).select("digest", "keep_id", "keep_points", F.col("group_size").alias("n"), F.lit(batch).alias("batch"))
+        if batch in self.about["batches"]:
+            raise ValueError(f"batch {batch!r} is in the index already")
+        own = f"{batch}/{uuid.uuid4().hex}"  # another try of a batch that broke off has another name
+        groups = winners(found).select("digest", "keep_id", "keep_points", F.col("group_size").alias("n"), F.lit(own).alias("batch"))
         groups = cut(groups.repartition(self.buckets, "digest"))
-        if not self._has(self.name):
+        if self.about["schema"] is None:
+            self.about["schema"] = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in groups.schema.fields)
+            for table in (self.name, f"{self.name}_later"):
+                self._register(table)
+        if self.about["batches"]:
+            index = self._rows(self.name).select("digest").hint("merge")
+            # both are worked out before either table grows
+            fresh, again = cut(groups.join(index, "digest", "left_anti")), cut(groups.join(index, "digest", "left_semi"))
+            self._append(fresh, self.name)
+            self._append(again, f"{self.name}_later")
+        else:
             self._append(groups, self.name)
-            self._append(groups.limit(0), f"{self.name}_later")
-            return
-        if self.spark.table(self.name).filter(F.col("batch") == batch).limit(1).count() or self.spark.table(f"{self.name}_later").filter(F.col("batch") == batch).limit(1).count():
-            raise ValueError(f"batch {batch!r} is in the index already")
-        index = self.spark.table(self.name).select("digest").hint("merge")
-        # both are worked out before either table grows
-        fresh, again = cut(groups.join(index, "digest", "left_anti")), cut(groups.join(index, "digest", "left_semi"))
-        self._append(fresh, self.name)
-        self._append(again, f"{self.name}_later")
+        self.about["batches"][batch] = own
+        self._save()
 
     def state(self) -> DataFrame:
         """(digest, keep_id, keep_points, group_size, batch) of each digest over all batches; batch is the first."""
-        later = self.spark.table(f"{self.name}_later").withColumnsRenamed({"keep_id": "doc_id", "keep_points": "n_points"})
+        later = self._rows(f"{self.name}_later").withColumnsRenamed({"keep_id": "doc_id", "keep_points": "n_points"})
         later = later.groupBy("digest").agg(F.min(F.expr(BEST)).alias("l"), F.sum("n").alias("more"))
-        first = self.spark.table(self.name).withColumn("f", F.expr(BEST.replace("n_points", "keep_points").replace("doc_id", "keep_id")))
+        first = self._rows(self.name).withColumn("f", F.expr(BEST.replace("n_points", "keep_points").replace("doc_id", "keep_id")))
         both = first.join(later.hint("merge"), "digest", "left").withColumn("b", F.least("f", "l"))
         return both.select("digest", F.col("b.d").alias("keep_id"), (-F.col("b.n")).alias("keep_points"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("group_size"), "batch")
 
@@ -92,7 +150,7 @@ class DigestIndex:
         found = cut(digests(docs))
         self.add(found, batch)
         own = winners(found).select("digest", F.col("keep_id").alias("own_id"))
-        state = cut(self.state().join(own.hint("merge"), "digest").withColumn("fresh", F.col("batch") == batch))
+        state = cut(self.state().join(own.hint("merge"), "digest").withColumn("fresh", F.col("batch") == self.about["batches"][batch]))
         kept = F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("own_id"))
         return found.join(state, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

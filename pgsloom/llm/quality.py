@@ -1,15 +1,14 @@
 """Quality classifier by positive-unlabelled learning with a non-negative risk.
 
-Trusted positives are the documents labelled good; web text without a label is unlabelled. The share of good documents
-among the unlabelled is estimated first: a classifier of positives against unlabelled text, fitted on one half of the
+Trusted positives are the documents labelled good; the unlabelled text is a draw from all documents, whatever their label
+says or does not say. The share of good documents among the unlabelled is estimated first: a classifier of positives against unlabelled text, fitted on one half of the
 samples, ranks the other positives and every unlabelled document of the table, and the least ratio of unlabelled to positive
 mass above a rank bounds the share. A small network is then fitted to the unbiased risk
 ``p R+(pos) + (R-(unl) - p R-(pos))`` whose bracket may not fall below zero.
 
 Features come from the whole text: shares of byte classes, words, lines, repetition. They never see doc_id, lang,
 source or labels. The fit uses at most ``sample`` documents of each kind (the ones with the least hash of their id);
-the class prior is counted over all, and scoring covers every document. Where fewer than ``few`` documents lack a label,
-all documents serve as the unlabelled text, whatever their label says.
+the class prior is counted over all, and scoring covers every document.
 
 Defined cases: a null text counts as empty and is scored like one; a null doc_id counts as the text ''; a document
 labelled twice is a positive only if no label says otherwise; rows that repeat are scored alike, and count as often as they
@@ -166,13 +165,11 @@ def described(docs: DataFrame) -> DataFrame:
     return cut(docs.select("doc_id", of_text("text").alias("x")))
 
 
-def learn(found: DataFrame, labels: DataFrame, sample: int = 8_000, few: int = 200) -> Network:
+def learn(found: DataFrame, labels: DataFrame, sample: int = 8_000) -> Network:
     """Fit on at most ``sample`` positives and as many unlabelled rows of described documents, none of them held out."""
     of = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     rows = found.filter("doc_id is not null").filter(remainder(F.col("doc_id")) != 0)
-    unlabelled = rows.join(of, "doc_id", "left_anti")
-    if unlabelled.limit(few).count() < few:
-        unlabelled = rows
+    unlabelled = rows  # a label decides nothing here, so no number of labels changes what the text is drawn from
     some = [F.xxhash64(F.lit(3), "doc_id"), "doc_id"]
 
     def least(df: DataFrame) -> list:

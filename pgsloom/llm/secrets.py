@@ -4,7 +4,7 @@ Two character chains are trained from labelled samples: one on random strings (k
 and identifiers. A long run of key characters is a secret when the log-likelihood ratio of the two chains, per character,
 is above zero and a high quantile of the ordinary samples of that length kept for this, plus a margin. The fixed patterns stay beside it as they are.
 
-Labelled samples: random strings made by rule from a fixed seed; identifiers made by rule from plain words; and the
+Labelled samples: random strings made by rule from a fixed seed; identifiers and long runs of other kinds (rules, numbers, sequences of few letters, addresses) made by rule; and the
 words of at most ``sample`` documents (the ones with the least hash of their id), but for those that a pattern marks. A
 word is a run of 4 to 19 small letters, the first may be a capital: too short to be a candidate itself, so no key is one.
 Scanning covers every whole text. Offsets are code points, ends exclusive.
@@ -19,7 +19,7 @@ import hashlib
 import random
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +66,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def apart(places: Iterable[tuple[int, int]], spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Those of the places, in order and apart from each other, that touch no span: one sweep over both."""
+    order = sorted((s, e) for s, e, _ in spans)
+    k, reach = 0, 0  # of the spans that begin before a place's end, how far they reach
+    for a, b in places:
+        while k < len(order) and order[k][0] < b:
+            reach = max(reach, order[k][1])
+            k += 1
+        if reach <= a:
+            yield a, b
+
+
 def random_strings(n: int, seed: int = 11) -> list[str]:
     """Labelled random: keys and tokens of the usual alphabets and lengths."""
     rnd = random.Random(seed)
@@ -86,6 +98,25 @@ def identifiers(n: int, seed: int = 12) -> list[str]:
     return out
 
 
+def plain_runs(n: int, seed: int = 13) -> list[list[str]]:
+    """Labelled ordinary, kind by kind: long runs that are no names. Rules and alphabets, numbers, sequences of few letters, addresses."""
+    rnd = random.Random(seed)
+
+    def size() -> int:
+        return rnd.randint(20, 64)
+
+    def title() -> str:
+        return "".join(rnd.choice(PLAIN) for _ in range(rnd.randint(1, 3))).title()
+
+    kinds = (
+        lambda: rnd.choice((string.ascii_lowercase, string.ascii_uppercase, "0123456789" * 6, *[c * size() for c in SYMBOLS]))[: size()],
+        lambda: rnd.choice(("".join(rnd.choices("0123456789", k=size())), "-".join(f"{rnd.randrange(10**4):04d}" for _ in range(size() // 4)))),
+        lambda: "".join(rnd.choices(rnd.choice(("ACGT", "acgt", "01", "ACGU")), k=size())),
+        lambda: rnd.choice((f"en/wiki/{'_'.join(title() for _ in range(rnd.randint(2, 4)))}", f"{rnd.choice(PLAIN)}/{rnd.randrange(1990, 2030)}/{rnd.randrange(1, 13):02d}/{'-'.join(rnd.choices(PLAIN, k=3))}")),
+    )
+    return [[make() for _ in range(n)] for make in kinds]
+
+
 def codes(s: str) -> np.ndarray:
     return np.array([CODE.get(c, 0) for c in s], np.int64)
 
@@ -101,26 +132,28 @@ def chain(samples: list[str]) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, secret: list[str], ordinary: list[str], margin: float = 0.1, quantile: float = 0.999):
-        order = random.Random(5).sample(range(len(ordinary)), len(ordinary))
-        kept = set(order[: len(ordinary) // 4])  # for the threshold only
-        self.ratio = chain(secret) - chain([s for i, s in enumerate(ordinary) if i not in kept])
-        long = [self.score(ordinary[i]) for i in kept if len(ordinary[i]) >= 20]  # what can be a candidate
-        self.threshold = max(0.0, float(np.quantile(long, quantile)) if long else 0.0) + margin
+    """A chain of secrets against one of each kind of ordinary string: the kind that fits a run best is compared with it."""
+
+    def __init__(self, secret: list[str], ordinary: list[list[str]], margin: float = 0.1, quantile: float = 0.999):
+        rnd, chains, long = random.Random(5), [], []
+        for kind in ordinary:
+            kept = set(rnd.sample(range(len(kind)), len(kind) // 4))  # for the threshold only
+            chains.append(chain([s for i, s in enumerate(kind) if i not in kept]))
+            long += [kind[i] for i in kept if len(kind[i]) >= 20]  # what can be a candidate
+        self.ratio = chain(secret)[None] - np.array(chains)
+        scores = [self.score(s) for s in long]
+        self.threshold = max(0.0, float(np.quantile(scores, quantile)) if scores else 0.0) + margin
 
     def score(self, s: str) -> float:
-        """Log-likelihood ratio of random against ordinary, per character."""
+        """Log-likelihood ratio of random against the likeliest kind of ordinary, per character."""
         c = codes(s)
-        return float(self.ratio[np.concatenate(([0], c[:-1])), c].mean()) if len(c) else 0.0
+        return float(self.ratio[:, np.concatenate(([0], c[:-1])), c].mean(axis=1).min()) if len(c) else 0.0
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """All spans of a text, by start, then kind."""
         base = base_spans(text)
-        found = list(base)
-        for m in CANDIDATE.finditer(text):
-            a, b = m.span()
-            if not any(a < e and s < b for s, e, _ in base) and self.score(m[0]) > self.threshold:
-                found.append((a, b, "markov"))
+        free = apart((m.span() for m in CANDIDATE.finditer(text)), base)
+        found = base + [(a, b, "markov") for a, b in free if self.score(text[a:b]) > self.threshold]
         return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -130,13 +163,12 @@ def train(docs: DataFrame, sample: int = 300) -> Model:
     ordinary = set()
     for r in rows:
         text = r["text"] or ""
-        marked = base_spans(text)
-        ordinary |= {m[0] for m in ORDINARY_WORD.finditer(text) if not any(m.start() < e and s < m.end() for s, e, _ in marked)}
+        ordinary |= {text[a:b] for a, b in apart((m.span() for m in ORDINARY_WORD.finditer(text)), base_spans(text))}
     words = sorted(ordinary)
     rnd = random.Random(6)
     # long ordinary runs, as in texts whose words are not parted
     long = ["".join(rnd.choices(words, k=rnd.randint(2, 5))) for _ in range(4000)] if words else []
-    return Model(random_strings(4000), identifiers(4000) + words + long)
+    return Model(random_strings(4000), [identifiers(4000) + words + long, *plain_runs(2000)])
 
 
 def line(spans: list[tuple[int, int, str]]) -> str:

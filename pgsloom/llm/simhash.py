@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pgsloom.llm.common import components, cut, table
 
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
+#: One salt for each round: the least of ``node ^ salt`` picks a node, and turning it back gives the node.
+SALTS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD)
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -105,11 +107,37 @@ def first_key(x: Column) -> Column:
     return out.cast("long")
 
 
+def component_links(fps: DataFrame, distance: int = 4, common: int = 8_000_000) -> DataFrame:
+    """(a, b): links within ``distance`` that give the same components as all of them, but not all pairs of a dense group.
+
+    Each fingerprint is compared with a few others of each of its keys first (the least under each of ``SALTS``). The links found
+    make groups, and a key all of whose fingerprints are in one group is done. In the other keys fingerprints of
+    different groups are compared, and one link is kept for each fingerprint and group that it meets. What comes out is in proportion to the
+    fingerprints and their keys, however dense they lie.
+    """
+    fps = fps.distinct()
+    deep = fps.count() > common
+    index = cut(keys(fps, deep))
+    on = [c for c in index.columns if c != "fp"]
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+    least = index.groupBy(*on).agg(F.count("*").alias("n"), *[F.min(F.expr(f"fp ^ {salt}L")).alias(f"r{i}") for i, salt in enumerate(SALTS)]).filter("n > 1")
+    some = least.select(*on, F.array_distinct(F.array(*[F.expr(f"r{i} ^ {salt}L") for i, salt in enumerate(SALTS)])).alias("some"))
+    stars = index.join(some, on).select(F.col("fp").alias("a"), F.explode("some").alias("b")).filter((F.col("a") != F.col("b")) & near("a", "b"))
+    stars = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    groups = components(stars)
+    grouped = index.join(groups, index["fp"] == groups["node"], "left").select(*on, "fp", F.coalesce("root", "fp").alias("group"))
+    mixed = grouped.groupBy(*on).agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select(*on)
+    open_keys = cut(grouped.join(mixed, on, "left_semi"))
+    left, right = (open_keys.withColumnsRenamed({"fp": c, "group": f"g{c}"}) for c in "ab")
+    met = left.join(right, on).filter((F.col("ga") < F.col("gb")) & near("a", "b"))
+    return stars.unionByName(met.groupBy("a", "gb").agg(F.min("b").alias("b")).select("a", "b"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for each document."""
     found = cut(fingerprints(docs, shingle))
     nodes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(cut(links(nodes.select("fp"), distance)))
+    roots = components(cut(component_links(nodes.select("fp"), distance)))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(groups, "root").select("fp", "component_id")
@@ -200,10 +228,6 @@ def _common(docs: DataFrame, width: int, similarity: float, often: int = 20, mos
     return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(most).collect()], np.int64))
 
 
-#: One salt for each round: the least of ``node ^ salt`` picks a node, and turning it back gives the node.
-SALTS = (0x0, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD)
-
-
 def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, lowest: int = 4) -> DataFrame:
     """(node, doc_id, stays) for documents in groups linked by five-word shingle similarity; one of each group stays.
 

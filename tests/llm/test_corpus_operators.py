@@ -2,8 +2,12 @@
 
 import collections
 import hashlib
+import os
+import pathlib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 
@@ -139,6 +143,62 @@ def test_index_keeps_what_it_has_seen(spark):
     assert not spark.catalog.tableExists("seen_before") and not spark.catalog.tableExists("seen_before_later")
 
 
+SESSION = """
+import sys
+from pyspark.sql import SparkSession
+from pgsloom.llm.exact_dedup import DigestIndex
+folder, batch, *texts = sys.argv[1:]
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", folder + "-warehouse-" + batch).config("spark.checkpoint.dir", "file://" + folder + "-checkpoints").getOrCreate()
+index = DigestIndex(spark, "kept", 2, "file://" + folder)
+docs = spark.createDataFrame([(100 * len(texts) + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+for r in sorted(index.dedup(docs, batch).collect()):
+    print("ROW", r["doc_id"], r["keep_id"], r["group_size"], r["kept"], index.buckets)
+print("TABLE", spark.table("kept").count())
+plan = spark.table("kept").select("digest").join(spark.table("kept").select("digest").hint("merge"), "digest")._jdf.queryExecution().executedPlan().toString()
+print("EXCHANGE", "Exchange" in plan)
+"""
+
+
+def session(folder, batch, *texts):
+    """What a process of its own, with a catalog of its own, says after adding a batch to the index in a folder."""
+    root = str(pathlib.Path(__file__).parents[2])
+    done = subprocess.run([sys.executable, "-c", SESSION, folder, batch, *texts], env=os.environ | {"PYTHONPATH": root}, cwd=folder.rsplit("/", 1)[0], capture_output=True, text=True, timeout=300)
+    lines = [x.split()[1:] for x in done.stdout.splitlines() if x.split()[:1] in (["ROW"], ["TABLE"], ["EXCHANGE"])]
+    return lines or done.stderr
+
+
+def test_index_outlives_the_session(tmp_path):
+    folder = str(tmp_path / "index")
+    assert session(folder, "1", "a b", "c") == [["200", "200", "1", "True", "2"], ["201", "201", "1", "True", "2"], ["2"], ["False"]]
+    second = session(folder, "2", "ab", "new", "c  c", "x")
+    assert second == [["400", "200", "2", "False", "2"], ["401", "401", "1", "True", "2"], ["402", "402", "1", "True", "2"], ["403", "403", "1", "True", "2"], ["5"], ["False"]]
+    assert "in the index already" in session(folder, "2", "z")
+    assert session(folder, "3", "ab") == [["100", "200", "3", "False", "2"], ["5"], ["False"]]
+
+
+def test_index_refuses_other_files_and_skips_broken_batches(spark, tmp_path, monkeypatch):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "data.txt").write_text("something")
+    with pytest.raises(ValueError, match="no index"):
+        exact_dedup.DigestIndex(spark, "other_files", 2, f"file://{tmp_path}/x")
+    index = exact_dedup.DigestIndex(spark, "broken_batch", 2, f"file://{tmp_path}/y")
+    try:
+        index.dedup(frame(spark, [(1, "a", "s")]), "1")
+        monkeypatch.setattr(exact_dedup.DigestIndex, "_save", lambda self: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            index.dedup(frame(spark, [(2, "b", "s"), (3, "a", "s")]), "2")
+        monkeypatch.undo()
+        again = exact_dedup.DigestIndex(spark, "broken_batch", 2, f"file://{tmp_path}/y")
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in again.dedup(frame(spark, [(2, "b", "s"), (3, "a", "s")]), "2").collect()}
+        assert got == {2: (2, 1, True), 3: (1, 2, False)}
+        with pytest.raises(ValueError, match="has a table"):
+            spark.range(1).write.mode("overwrite").saveAsTable("taken")
+            exact_dedup.DigestIndex(spark, "taken", 2, f"file://{tmp_path}/z").dedup(frame(spark, [(1, "a", "s")]), "1")
+    finally:
+        index.drop()
+        spark.sql("DROP TABLE IF EXISTS taken")
+
+
 def test_the_anti_join_decides(spark, monkeypatch):
     """Without it a digest of two batches has two rows in the index, and the result is wrong."""
     plans, append = [], exact_dedup.DigestIndex._append
@@ -178,6 +238,38 @@ def test_links_lose_none(spark, common):
     assert len(got) == len(want) and set(got) == want
 
 
+@pytest.mark.parametrize("common", [8_000_000, 1])
+def test_links_of_a_crowd(spark, common):
+    """The same components as all pairs give, by links in proportion to the fingerprints, on dense groups and chains."""
+    rnd = random.Random(2)
+    bit = lambda: 1 << rnd.randrange(64)
+    centre, chain, values = rnd.getrandbits(64), rnd.getrandbits(64), {0, 7, 1 << 40}
+    values |= {centre ^ bit() ^ bit() for _ in range(400)} | {rnd.getrandbits(64) for _ in range(100)}
+    for _ in range(60):
+        chain ^= sum({bit() for _ in range(4)})
+        values.add(chain)
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    root = {v: v for v in signed}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    pairs = 0
+    for i, a in enumerate(signed):
+        for b in signed[:i]:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
+                pairs += 1
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    links = [tuple(r) for r in simhash.component_links(spark.createDataFrame([(v,) for v in signed], "fp bigint"), 4, common).collect()]
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in links)
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert all(find(v) == find(got.get(v, v)) for v in signed) and len({got.get(v, v) for v in signed}) == len({find(v) for v in signed})
+    assert pairs > 50_000 and len(links) < (60 if common == 1 else 25) * len(signed)  # five times the keys where they are deep
+
+
 def test_simhash_components(spark, small):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in small.collect()] + [(10_000, None, "s"), (10_001, "", "s")]
     got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(frame(spark, rows)).collect()}
@@ -396,6 +488,34 @@ def test_secrets(spark):
     assert not any(model.score(s) > model.threshold for s in secrets.identifiers(500, seed=78))
 
 
+def test_runs_that_are_no_secrets(spark):
+    """Rules, numbers, addresses and sequences stay; keys of every alphabet are found (precision and recall of the chains)."""
+    model = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    plain = ["-" * 20, "_" * 24, "A" * 24, "+" * 20, "=-" * 11, "1234567890" * 2, "4111-1111-1111-1111-0000", "2024-01-02-2024-03-04-17", "ACGTTGCAAGCTTAGCCATGGATTACAGA", "abcdefghijklmnopqrstuvwxyz"]
+    plain += ["en/wiki/Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogoch", "com/google/guava/ListenableFuture", "get_user_account_settings_by_identifier"]
+    assert [s for s in plain if model.score(s) > model.threshold] == []
+    other = [s for kind in secrets.plain_runs(300, seed=80) for s in kind if len(s) >= 20]
+    assert np.mean([model.score(s) > model.threshold for s in other]) < 0.01
+    rnd = random.Random(18)
+    for alphabet in (secrets.string.ascii_letters + secrets.string.digits, "0123456789ABCDEF", secrets.string.ascii_letters + secrets.string.digits + "+/", secrets.string.ascii_lowercase + secrets.string.digits):
+        assert np.mean([model.score("".join(rnd.choices(alphabet, k=24))) > model.threshold for _ in range(500)]) > 0.95
+
+
+def test_many_spans_in_one_text(spark):
+    """A key a line: one sweep, not every candidate against every span."""
+    model = secrets.Model(secrets.random_strings(300), [secrets.identifiers(300)])
+    text = "\n".join(f"0123456789abcdef01234567{i:08x} {'q' * 25}" for i in range(60_000))
+    began = time.time()
+    spans = model.spans(text)
+    assert sum(k == "hex" for _, _, k in spans) == 60_000 and time.time() - began < 20
+    rnd = random.Random(4)
+    for _ in range(300):
+        places = sorted(rnd.sample(range(60), 8))
+        places = list(zip(places[::2], places[1::2]))
+        some = [(a, a + rnd.randint(1, 20), "x") for a in rnd.choices(range(60), k=rnd.randint(0, 5))]
+        assert list(secrets.apart(places, some)) == [(a, b) for a, b in places if not any(a < e and s < b for s, e, _ in some)]
+
+
 def brute_base(text):
     """Kinds, starts and ends by trying every place from the left."""
     assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?P<v>[A-Za-z0-9+/_.=-]+)""", re.I | re.A)
