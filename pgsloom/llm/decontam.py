@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pgsloom.llm.common import table
+from pgsloom.llm.common import in_slices, table, trim
 
 
 def normal(text: str | None) -> str:
@@ -162,7 +162,7 @@ def _scan(docs: DataFrame, block: list[tuple[object, str]], rate: float, least_c
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(shared, rate, least_chars)
-        for part in parts:
+        for part in in_slices(parts):
             rows = [(i, *m) for i, t in enumerate(part.column(1)) for m in find(t.as_py())]
             columns = list(zip(*rows)) if rows else [()] * 5
             ids = part.column(0).take(pa.array(columns[0], pa.int64()))
@@ -184,6 +184,7 @@ def _free(shared, rate: float, least_chars: int) -> Column:
         find = _finder(shared, rate, least_chars)
         for part in texts:
             yield pd.Series([next(find(t), None) is None for t in part], dtype=bool)
+        trim()
 
     return free("text")
 

@@ -18,6 +18,7 @@ stand there; without positives every score is 0.5; an empty table gives an empty
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pgsloom.llm.common import cut, table
+from pgsloom.llm.common import cut, table, trim
 
 #: Classes of bytes, one feature each.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\x0b\x0c\r", "\n", ".,;:", "!", "?", "#$%&*@^~", "|", "<>{}[]()", "=+/\\_-", "\"'`")
@@ -159,8 +160,10 @@ def described(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the features of every whole text, written once."""
 
     @F.pandas_udf("array<double>")
-    def of_text(text: pd.Series) -> pd.Series:
-        return pd.Series(list(matrix(text)))
+    def of_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield pd.Series(list(matrix(text)))
+        trim()
 
     return cut(docs.select("doc_id", of_text("text").alias("x")))
 
@@ -198,8 +201,10 @@ def scored(net: Network, column: Column, described: bool = False) -> Column:
     """The score of a column of texts, or of features."""
 
     @F.pandas_udf("double")
-    def score(values: pd.Series) -> pd.Series:
-        return pd.Series(net.score(np.array(values.tolist()).reshape(len(values), -1) if described else matrix(values)))
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in parts:
+            yield pd.Series(net.score(np.array(values.tolist()).reshape(len(values), -1) if described else matrix(values)))
+        trim()
 
     return score(column)
 

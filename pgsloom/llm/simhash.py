@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pgsloom.llm.common import components, cut, table
+from pgsloom.llm.common import components, cut, in_slices, table
 
 SEGMENTS = ((0, 22), (22, 43), (43, 64))
 #: One salt for each round: the least of ``node ^ salt`` picks a node, and turning it back gives the node.
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in in_slices(parts):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(t.as_py(), shingle) for t in part.column(1)], pa.int64())], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {id_type}, fp bigint")
@@ -172,7 +172,7 @@ def similar(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, fe
             wanted = F.broadcast(wanted)
 
         def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts:
+            for part in in_slices(parts):
                 yield pa.RecordBatch.from_arrays([part.column(0), *made([shingle_hashes(t.as_py(), width) for t in part.column(1)])], names=["node", *[c.split()[0] for c in schema.split(", ")]])
 
         return cut(_nodes(docs).select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(batches, f"node bigint, {schema}"))
@@ -214,7 +214,7 @@ def _common(docs: DataFrame, width: int, similarity: float, often: int = 20, mos
 
     def firsts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for part in parts:
+        for part in in_slices(parts):
             owns = [np.sort(shingle_hashes(t.as_py(), width)) for t in part.column(0)]
             first = [x[: prefix_length(len(x), similarity)] for x in owns]
             both = np.concatenate([keys, *first])
@@ -246,7 +246,7 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, lo
 
     def described(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.append(shared.value, np.iinfo(np.int64).max)
-        for part in parts:
+        for part in in_slices(parts):
             rows = []
             for t in part.column(2):
                 own = np.sort(shingle_hashes(t.as_py(), width))
