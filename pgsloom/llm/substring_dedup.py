@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pgsloom.llm.common import table
+from pgsloom.llm.common import table, trim
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: For the second hash of a window.
@@ -107,7 +107,9 @@ class Doc:
     def __init__(self, text: str | None, window: int):
         self.raw = (text or "").encode()
         data = np.frombuffer(self.raw, np.uint8)
-        self.words, self.starts, self.ends = word_hashes(data)
+        self.words, starts, ends = word_hashes(data)
+        small = np.int32 if len(data) < 1 << 31 else np.int64
+        self.starts, self.ends = starts.astype(small), ends.astype(small)
         self.window, self.n = window, max(0, len(self.words) - window + 1)
 
     def runs(self, length: int, base: np.uint64 = BASE) -> np.ndarray:
@@ -162,7 +164,9 @@ def firsts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Which windows are the first with both of their hashes."""
     out = np.zeros(len(one), bool)
     order = np.argsort(one, kind="stable")
-    same = one[order][1:] == one[order][:-1]
+    in_order = one[order]
+    same = in_order[1:] == in_order[:-1]
+    del in_order
     if (two[order][1:] == two[order][:-1])[same].all():  # equal by the first hash: equal by the other
         new = ~same
     else:  # a collision
@@ -176,9 +180,11 @@ def firsts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 def _windows(docs: list[tuple], window: int) -> tuple[list[Doc], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Documents, the two hashes of all windows in order, where each document's windows begin, which are the first of their kind."""
     parsed = [Doc(text, window) for _, text, _ in docs]
-    pairs = [d.whole() for d in parsed if d.n]
-    one, two = (np.concatenate([np.zeros(0, np.uint64), *[p[k] for p in pairs]]) for k in (0, 1))
     offsets = np.concatenate(([0], np.cumsum([d.n for d in parsed], dtype=np.int64)))
+    one, two = (np.empty(offsets[-1], np.uint64) for _ in range(2))
+    for d, a, b in zip(parsed, offsets, offsets[1:]):
+        if d.n:
+            one[a:b], two[a:b] = d.whole()
     return parsed, one, two, offsets, firsts(one, two)
 
 
@@ -239,6 +245,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, shortest: int = 5, block_
     def level(before: int | None, length: int):
         def made(left, right=None):
             keys = level_keys(left, right, window, before, length)
+            trim()
             return pa.table([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), left.column("block")[0].as_py() if left.num_rows else 0, np.int32))], names=["key", "block"])
 
         return (lambda left: made(left)) if before is None else (lambda left, right: made(left, right))
@@ -252,6 +259,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, shortest: int = 5, block_
 
     def whole(key, left, right):
         out = window_rows(left, right, window, before)
+        trim()
         return out.append_column("block", pa.array(np.full(out.num_rows, key[0].as_py() or 0, np.int32)))
 
     windows = dealt.cogroup(survivors.groupBy("block")).applyInArrow(whole, f"one bigint, two bigint, doc_id {kind}, th bigint, place int, at int, block int")
@@ -260,7 +268,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, shortest: int = 5, block_
     marks = windows.withColumn("nth", F.row_number().over(order)).filter("nth > 1").select("block", "place", "at")
 
     def last(key, left, right):
-        return _table(list(finish(left, right, window)), ["doc_id", "n_words", "n_removed", "kept_sha256"], [arrow, pa.int64(), pa.int64(), pa.string()])
+        found = list(finish(left, right, window))
+        trim()
+        return _table(found, ["doc_id", "n_words", "n_removed", "kept_sha256"], [arrow, pa.int64(), pa.int64(), pa.string()])
 
     return dealt.cogroup(marks.groupBy("block")).applyInArrow(last, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
