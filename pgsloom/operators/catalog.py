@@ -133,6 +133,20 @@ def quality_analysis(filtered: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("scores"), F.count("kind").alias("validated"), F.avg("weight").alias("mean_weight"))
 
 
+def trait_quality(trait_pgs: DataFrame, decisions: DataFrame, weights: DataFrame) -> DataFrame:
+    """For each trait how many of its scores are taken, left out or recovered, and how well those taken are validated.
+
+    A score without a weight counts 0.5 in the mean; the mean is 0 where none is taken.
+    """
+    rows = trait_pgs.select("trait_id", "pgs_id").distinct().join(decisions, "pgs_id", "left").join(weights.select("pgs_id", "kind", "weight"), "pgs_id", "left")
+    taken = F.coalesce("include", F.lit(False))
+    mean = F.avg(F.when(taken, F.coalesce(F.nullif("weight", F.lit(0.0)), F.lit(0.5))))
+    return rows.groupBy("trait_id").agg(
+        F.count("*").alias("total"), F.count_if(taken).alias("included"), F.count_if(~taken).alias("excluded"), F.count_if(taken & (F.col("strategy") == "nr_recovery")).alias("recovered"),
+        F.count_if(taken & F.col("kind").isNotNull()).alias("validated"), F.count_if(taken & F.col("kind").isNull()).alias("unvalidated"), F.coalesce(mean, F.lit(0.0)).alias("mean_weight"),
+    )
+
+
 def allowlist(traits: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """Traits of a tier; without a list all of them."""
     return traits if allowed is None else traits.join(allowed, "trait_id", "left_semi")

@@ -64,6 +64,13 @@ def norm_plain(pack: DataFrame, af: DataFrame) -> DataFrame:
     return out.withColumn("mean", F.nullif("mean", F.lit(0.0))).withColumn("sd", F.nullif("sd", F.lit(0.0)))
 
 
+def theoretical(pack: DataFrame, af: DataFrame) -> DataFrame:
+    """(pgs_id, mean, sd, variance) of scores by frequencies as they stand, a missing one counting as 0, and variants independent."""
+    f, w = F.coalesce("af", F.lit(0.0)), F.col("effect_weight")
+    out = pack.select(*KEYS, "pgs_id", "effect_weight").join(af.select(*KEYS, "af"), KEYS, "left").groupBy("pgs_id").agg(F.sum(w * 2.0 * f).alias("mean"), F.sum(w * w * 2.0 * f * (1.0 - f)).alias("variance"))
+    return out.withColumn("sd", F.sqrt("variance"))
+
+
 def best_coverage(norms: DataFrame, pack: str = "pack") -> DataFrame:
     """Of the norms of one score in several packs the one with the highest coverage (then the first pack)."""
     rank = F.row_number().over(Window.partitionBy("pgs_id").orderBy(F.col("coverage").desc(), pack))

@@ -107,12 +107,20 @@ def spread(trait_results: DataFrame) -> DataFrame:
 
 
 def dashboard(traits: DataFrame, results: DataFrame, search: str = "", category: str = "", state: str = "") -> DataFrame:
-    """Traits that fit the search, with a person's results; calculated ones first, farthest from the middle first."""
+    """Traits that fit the search, with a person's results; calculated ones first, farthest from the middle first.
+
+    The search looks into name, description and every category; a trait has one (``category``) or several (``categories``).
+    """
     rows = traits.join(results.select("trait_id", "overall_percentile"), "trait_id", "left")
+    every = F.coalesce("categories", F.array()) if "categories" in traits.columns else F.array_compact(F.array("category"))
     if search:
-        rows = rows.filter(F.lower("name").contains(search.lower()) | F.lower("category").contains(search.lower()))
+        texts = [c for c in ("name", "description") if c in traits.columns]
+        found = F.exists(every, lambda c: F.lower(c).contains(search.lower()))
+        for c in texts:
+            found = found | F.coalesce(F.lower(c).contains(search.lower()), F.lit(False))
+        rows = rows.filter(found)
     if category:
-        rows = rows.filter(F.col("category") == category)
+        rows = rows.filter(F.array_contains(every, category))
     if state:
         rows = rows.filter(F.col("overall_percentile").isNotNull() if state == "calculated" else F.col("overall_percentile").isNull())
     order = [F.col("overall_percentile").isNull(), F.abs(F.col("overall_percentile") - 50).desc_nulls_last(), F.col("name")]
@@ -131,7 +139,16 @@ def z_by_trait(results: DataFrame) -> DataFrame:
 
 
 def visible_scores(results: DataFrame, least: float = 0.005) -> DataFrame:
-    return results.filter(F.abs("raw_score") >= least)
+    """Scores that are shown, each with its place in its trait: highest quality first, none counts as 0."""
+    order = Window.partitionBy("individual_id", "trait_id").orderBy(F.coalesce("quality_score", F.lit(0.0)).desc(), "pgs_id")
+    return results.filter(F.abs("raw_score") >= least).withColumn("place", F.row_number().over(order))
+
+
+def result_order(results: DataFrame, by: str = "best") -> DataFrame:
+    """Results with their place in their trait: ``best`` (sufficient ones first, then performance, then effect), ``performance`` or ``effect``."""
+    effect, performance = F.abs("raw_score").desc(), F.col("performance").desc_nulls_last()
+    orders = {"best": [F.col("insufficient_data"), performance, effect], "performance": [performance], "effect": [effect]}
+    return results.withColumn("place", F.row_number().over(Window.partitionBy("individual_id", "trait_id").orderBy(*orders[by], "pgs_id")))
 
 
 def progress(trait_results: DataFrame, total: int) -> DataFrame:

@@ -136,6 +136,18 @@ def quality_analysis(t: Inputs) -> DataFrame:
     return catalog.quality_analysis(catalog.pgs_filter(t.view("catalog")), catalog.performance_weights(t.view("pgs_scores"), t.view("pgs_performance"))).withColumn("mean_weight", F.round("mean_weight", 6))
 
 
+@query("trait_quality", f"""with f as ({FILTERED}), w as ({WEIGHTS}), s as (select pgs_id, missing * 1e0 / sampled > 5e-1 as use_eaf from ({SAMPLE}) x),
+  j as (select f.pgs_id, w.weight, w.kind, case when f.exclude and f.weight_type <> 'NR' then 'original_filter' when f.weight_type = 'NR' and coalesce(s.use_eaf, false) then 'nr_recovery' when not f.exclude then 'standard' else 'excluded' end as strategy from f left join w on w.pgs_id = f.pgs_id left join s on s.pgs_id = f.pgs_id),
+  d as (select *, coalesce(case when strategy = 'nr_recovery' then weight >= 3e-1 else strategy = 'standard' end, false) as taken from j),
+  p as (select p.trait_id, d.kind, d.weight, d.strategy, coalesce(d.taken, false) as taken from (select distinct trait_id, pgs_id from fx_trait_pgs) p left join d on d.pgs_id = p.pgs_id)
+  select trait_id, count(*) as total, count(*) filter (where taken) as included, count(*) filter (where not taken) as excluded, count(*) filter (where taken and strategy = 'nr_recovery') as recovered, count(*) filter (where taken and kind is not null) as validated,
+  count(*) filter (where taken and kind is null) as unvalidated, round(coalesce(avg(case when taken then coalesce(nullif(weight, 0), 5e-1) end), 0), 6) as mean_weight from p group by trait_id""")
+def trait_quality(t: Inputs) -> DataFrame:
+    weights = catalog.performance_weights(t.view("pgs_scores"), t.view("pgs_performance"))
+    decisions = catalog.enhanced_filter(catalog.pgs_filter(t.view("catalog")), weights, catalog.frequency_sample(t.view("lines")))
+    return catalog.trait_quality(t.view("trait_pgs"), decisions, weights).withColumn("mean_weight", F.round("mean_weight", 6))
+
+
 @query("allowlist", "select trait_id, name from fx_traits where trait_id in ('EFO_0000001', 'EFO_0000003', 'EFO_0000005')")
 def allowlist(t: Inputs) -> DataFrame:
     return catalog.allowlist(t.view("traits"), t.spark.sql("values 'EFO_0000001', 'EFO_0000003', 'EFO_0000005' as w(trait_id)")).select("trait_id", "name")

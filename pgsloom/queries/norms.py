@@ -44,6 +44,12 @@ def best_coverage_norm(t: Inputs) -> DataFrame:
     return norms.best_coverage(whole).select("pgs_id", "pack", "total", "found", "coverage", *rounded("mean"))
 
 
+@query("theoretical_norm", f"""with n as (select p.pgs_id, sum(p.effect_weight * 2e0 * coalesce(a.af, 0e0)) as mean, sum(p.effect_weight * p.effect_weight * 2e0 * coalesce(a.af, 0e0) * (1e0 - coalesce(a.af, 0e0))) as variance {JOINED} group by p.pgs_id)
+  select pgs_id, round(mean, 6) as mean, round(variance, 6) as variance, round(sqrt(variance), 6) as sd from n""")
+def theoretical_norm(t: Inputs) -> DataFrame:
+    return norms.theoretical(t.view("pack"), t.view("af")).select("pgs_id", *rounded("mean", "variance", "sd"))
+
+
 POPULATIONS = ["eur", "afr", "eas"]
 ANCESTRY = " union all ".join(
     f"""select pgs_id, '{p}' as population, m, s, found, total from (select p.pgs_id, count(*) as total, count(a.af_{p}) as found,

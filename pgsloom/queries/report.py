@@ -101,9 +101,26 @@ def median_z(t: Inputs) -> DataFrame:
     return report.z_by_trait(scoring.results(t)).select("individual_id", "trait_id", *rounded("median_z", "mean_z"))
 
 
-@query("visible_scores", "select individual_id, pgs_id, round(quality_score, 6) as quality_score from fx_results where abs(raw_score) >= 5e-3")
+@query("visible_scores", "select individual_id, trait_id, pgs_id, round(quality_score, 6) as quality_score, cast(row_number() over (partition by individual_id, trait_id order by coalesce(quality_score, 0) desc, pgs_id) as int) as place from fx_results where abs(raw_score) >= 5e-3")
 def visible_scores(t: Inputs) -> DataFrame:
-    return report.visible_scores(scoring.results(t)).select("individual_id", "pgs_id", *rounded("quality_score"))
+    return report.visible_scores(scoring.results(t)).select("individual_id", "trait_id", "pgs_id", *rounded("quality_score"), "place")
+
+
+@query("result_order", """with r as (select individual_id, trait_id, pgs_id, insufficient_data, performance, round(raw_score, 6) as raw_score from fx_results)
+  select individual_id, trait_id, pgs_id, cast(row_number() over (partition by individual_id, trait_id order by insufficient_data, performance desc nulls last, abs(raw_score) desc, pgs_id) as int) as best, cast(row_number() over (partition by individual_id, trait_id order by abs(raw_score) desc, pgs_id) as int) as effect from r""")
+def result_order(t: Inputs) -> DataFrame:
+    rows = scoring.results(t).select("individual_id", "trait_id", "pgs_id", "insufficient_data", "performance", *rounded("raw_score"))
+    both = report.result_order(report.result_order(rows).withColumnRenamed("place", "best"), "effect")
+    return both.select("individual_id", "trait_id", "pgs_id", "best", F.col("place").alias("effect"))
+
+
+@query("dashboard_categories", """with t as (select *, concat('about ', lower(name), ' and more') as description, case when trait_id > 'EFO_0000012' then [category, 'EXTRA'] when trait_id > 'EFO_0000005' then [category] else [] end as categories from fx_traits)
+  select trait_id, name from t where list_contains(categories, 'EXTRA') and (contains(description, 'an') or contains(lower(name), 'an'))""")
+def dashboard_categories(t: Inputs) -> DataFrame:
+    traits = t.view("traits").withColumn("description", F.concat(F.lit("about "), F.lower("name"), F.lit(" and more")))
+    traits = traits.withColumn("categories", F.expr("case when trait_id > 'EFO_0000012' then array(category, 'EXTRA') when trait_id > 'EFO_0000005' then array(category) else array() end"))
+    own = t.view("trait_pgs").select("trait_id").distinct().withColumn("overall_percentile", F.lit(50.0))
+    return report.dashboard(traits, own, search="AN", category="EXTRA").select("trait_id", "name")
 
 
 @query("progress", "select individual_id, count(*) as done, round(count(*) * 100e0 / 25, 2) as percent from fx_trait_results group by individual_id")

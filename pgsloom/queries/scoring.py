@@ -179,12 +179,14 @@ def quality_score(t: Inputs) -> DataFrame:
     return results(t).select("individual_id", "trait_id", "pgs_id", *rounded("quality_score"), Q.explanation(F.col("quality_score")).alias("explanation"))
 
 
-@query("quality_breakdown", f"""with q as (select *, case when coverage < 5e-2 then power(coverage / 5e-2, 2) when coverage < 2e-1 then sqrt(coverage / 2e-1) else 1e0 end as penalty from fx_results where matched_variants > 0)
-  select individual_id, pgs_id, floor(performance * 35e0 * penalty * 10 + 5e-1) / 10 as accuracy, floor(genotyped_variants * 15e0 / matched_variants * 10 + 5e-1) / 10 as reliability, floor(least(coverage, 1e0) * 100 + 5e-1) / 10 as coverage from q""")
+@query("quality_breakdown", """with q as (select *, case when coverage < 5e-2 then power(coverage / 5e-2, 2) when coverage < 2e-1 then sqrt(coverage / 2e-1) else 1e0 end as penalty from fx_results where matched_variants > 0),
+  p as (select individual_id, trait_id, pgs_id, performance * 35e0 * penalty as accuracy, case when performance > 5e-2 then least(performance / 44e-2, 1e0) * 15e0 else 0e0 end as validation, genotyped_variants * 15e0 / matched_variants as reliability, least(coverage, 1e0) * 10e0 as coverage,
+    least(log10(greatest(matched_variants / 8e0, 1e0)) / 31e-1, 1e0) * 10e0 as size, case when insufficient_empirical then 25e-1 else 5e0 end as normalization, case when z_score is null or abs(z_score) > 5 then 0e0 else least(abs(z_score) / 3e0, 1e0) * 10e0 end as signal from q)
+  select individual_id, trait_id, pgs_id, floor(accuracy * 10 + 5e-1) / 10 as accuracy, floor(validation * 10 + 5e-1) / 10 as validation, floor(reliability * 10 + 5e-1) / 10 as reliability, floor(coverage * 10 + 5e-1) / 10 as coverage, floor(size * 10 + 5e-1) / 10 as size, floor(normalization * 10 + 5e-1) / 10 as normalization, floor(signal * 10 + 5e-1) / 10 as signal from p""")
 def quality_breakdown(t: Inputs) -> DataFrame:
     rows = results(t).filter("matched_variants > 0")
     parts = Q.quality_breakdown(F.col("matched_variants"), F.col("total_variants"), F.col("performance"), ~F.col("insufficient_empirical"), F.col("z_score"), F.col("genotyped_variants"))
-    return rows.withColumn("parts", parts).select("individual_id", "pgs_id", F.col("parts")[0]["score"].alias("accuracy"), F.col("parts")[2]["score"].alias("reliability"), F.col("parts")[3]["score"].alias("coverage"))
+    return rows.withColumn("parts", parts).select("individual_id", "trait_id", "pgs_id", *[F.col("parts")[i]["score"].alias(name) for i, name in enumerate(Q.PARTS)])
 
 
 @query("confidence", "select individual_id, pgs_id, confidence, case when coverage >= 8e-1 then 'high' when coverage >= 5e-1 then 'medium' when coverage > 0 then 'low' else 'none' end as by_coverage from fx_results")
