@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pgsloom.functions import statistics as S
 from pgsloom.plans.fixtures import Inputs, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,8 +17,11 @@ SQL: dict[str, str] = {}
 def sql_percentile(z: str) -> str:
     """The percentile of a z-score as an SQL expression."""
     x = f"(abs({z}) / sqrt(2e0))"
-    t = f"(1e0 / (1e0 + 3275911e-7 * {x}))"
-    y = f"(1e0 - ((((1061405429e-9 * {t} - 1453152027e-9) * {t} + 1421413741e-9) * {t} - 284496736e-9) * {t} + 254829592e-9) * {t} * exp(-{x} * {x}))"
+    t = f"(1e0 / (1e0 + {S.ERF_P:.17e} * {x}))"
+    sum_of = f"{S.ERF_A[-1]:.17e}"
+    for a in S.ERF_A[-2::-1]:
+        sum_of = f"({sum_of} * {t} + {a:.17e})"
+    y = f"(1e0 - {sum_of} * {t} * exp(-{x} * {x}))"
     return f"(50e0 * (1e0 + case when {z} >= 0 then {y} else -{y} end))"
 
 
