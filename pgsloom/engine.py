@@ -106,11 +106,18 @@ class Engine:
     def traits(self) -> DataFrame:
         return self._read("traits")
 
+    def scores(self) -> DataFrame:
+        """The registered scores of each trait with their norms."""
+        return self._read("trait_pgs").join(self._read("pgs_scores"), "pgs_id", "left")
+
     def categories(self) -> DataFrame:
         return report.category_list(self.traits())
 
     def dashboard(self, individual_id: str, **choice: str) -> DataFrame:
-        return report.dashboard(self.traits(), self._read("trait_results").filter(F.col("individual_id") == individual_id), **choice)
+        """Traits that fit the choice, with a person's results where there are any."""
+        store = self.store("trait_results")
+        own = store.read() if store.exists() else self.spark.createDataFrame([], "individual_id string, trait_id string, overall_percentile double")
+        return report.dashboard(self.traits(), own.filter(F.col("individual_id") == individual_id), **choice)
 
     def top_variants(self, individual_id: str, trait_id: str, k: int = 20) -> DataFrame:
         """The largest contributions of the best scores of a trait."""

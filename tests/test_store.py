@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from pgsloom.__main__ import main
 from pgsloom.engine import Engine
 from pgsloom.plans.fixtures import Inputs
 from pgsloom.sources import store
@@ -130,3 +131,18 @@ def test_engine_keeps_other_people(spark, engine):
     assert {r["trait_id"] for r in engine.store("trait_results").read().filter("individual_id = 'IND3'").collect()} == set(some)
     engine.forget(["IND1"])
     assert {r["individual_id"] for r in engine.store("pgs_results").read().collect()} == {"IND2", "IND3"}
+
+
+def test_command_line(spark, engine, capsys):
+    def said(*words):
+        main([words[0], engine.root, *words[1:]])
+        return capsys.readouterr().out
+
+    trait = engine.scores().first()["trait_id"]
+    assert said("traits").count("EFO_") == 25 and trait in said("pgs", "--trait", trait) and said("pending").count("IND1") == 25
+    assert said("score", "--people", "IND1,IND2", "--traits", trait).strip() == "2" == str(engine.store("trait_results").read().count())
+    assert said("traits", "--individual", "IND1", "--state", "calculated").count("EFO_") == 1
+    said("forget", "IND1")
+    assert engine.store("trait_results").read().count() == 1 and said("report").count("IND2") == 1
+    main(["list"])
+    assert "store_merge" in capsys.readouterr().out
