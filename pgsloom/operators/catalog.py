@@ -35,12 +35,12 @@ def integrative(*texts: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.lower(t).contains(k), F.lit(False)) for t in texts for k in INTEGRATIVE])
 
 
-def validate_score(scores: DataFrame) -> DataFrame:
-    """The stricter check: (pgs_id, exclude, reason) by id, method words and unreported weights."""
+def validate_score(scores: DataFrame, known: tuple[str, ...] = EXCLUDED_IDS) -> DataFrame:
+    """The stricter check: (pgs_id, exclude, reason) by id (``known`` ones are excluded), method words and unreported weights."""
     method, weight = F.lower(F.coalesce("method_name", F.lit(""))), F.coalesce("weight_type", F.lit(""))
     any_of = lambda words: reduce(lambda a, b: a | b, [method.contains(w) for w in words])
     reason = (
-        F.when(F.col("pgs_id").isin(*EXCLUDED_IDS), "known").when(any_of(INTEGRATIVE[:-2]), "integrative").when((weight == "NR") & any_of(UNREPORTED_OK), "modern method")
+        F.when(F.col("pgs_id").isin(*known), "known").when(any_of(INTEGRATIVE[:-2]), "integrative").when((weight == "NR") & any_of(UNREPORTED_OK), "modern method")
         .when((weight == "NR") & (F.trim(method) == ""), "no method").when(weight == "NR", "method specified").otherwise("standard")
     )
     return scores.select("pgs_id", reason.isin("known", "integrative", "no method").alias("exclude"), reason.alias("reason"))
