@@ -1,6 +1,6 @@
 """Results that must not depend on the order of addition or on made ids."""
 
-from pgsloom.operators import catalog
+from pgsloom.operators import catalog, report
 from pgsloom.queries import QUERIES
 
 
@@ -13,3 +13,13 @@ def test_validate_score_knows_made_ids_only_when_told(spark):
 def test_validate_score_query_on_many_suppliers(spark, tmp_path):
     spark.range(2720, 2730).selectExpr("id as s_suppkey", "cast(0 as int) as s_nationkey", "0d as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
     assert "known" not in {r.reason for r in QUERIES["validate_score"](spark, str(tmp_path)).collect()}
+
+
+def test_extremes_take_the_order_of_addition_for_a_tie(spark):
+    z = 16.14415159817334
+    up, rows = z + 4e-15, []
+    assert up > z
+    for person, value in (("IND0", z), ("IND3", up), ("IND1", 12.0)):
+        rows.append((person, "T", "P", -value, 10, 20))
+    found = report.extremes(spark.createDataFrame(rows, "individual_id string, trait_id string, pgs_id string, z_score double, matched_variants long, total_variants long"), most=2)
+    assert [r.individual_id for r in found.collect()] == ["IND0", "IND3"]
