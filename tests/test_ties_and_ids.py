@@ -1,6 +1,8 @@
 """Results that must not depend on the order of addition or on made ids."""
 
-from pgsloom.operators import catalog, report
+import pytest
+
+from pgsloom.operators import catalog, norms, report
 from pgsloom.queries import QUERIES
 
 
@@ -23,3 +25,10 @@ def test_extremes_take_the_order_of_addition_for_a_tie(spark):
         rows.append((person, "T", "P", -value, 10, 20))
     found = report.extremes(spark.createDataFrame(rows, "individual_id string, trait_id string, pgs_id string, z_score double, matched_variants long, total_variants long"), most=2)
     assert [r.individual_id for r in found.collect()] == ["IND0", "IND3"]
+
+
+def test_theoretical_norm_rounds_half_way_values_up(spark, monkeypatch):
+    rows = spark.createDataFrame([("A", -0.1, 0.19817349999999992, 0.4), ("B", 0.1, 0.22079750000000004, 0.4)], "pgs_id string, mean double, variance double, sd double")
+    monkeypatch.setattr(norms, "theoretical", lambda pack, af: rows)
+    got = {r.pgs_id: r.variance for r in QUERIES["theoretical_norm"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == pytest.approx({"A": 0.198174, "B": 0.220798}, abs=1e-12)
