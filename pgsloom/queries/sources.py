@@ -15,7 +15,7 @@ from pgsloom.operators import blocks, results
 from pgsloom.plans.fixtures import Inputs
 from pgsloom.queries.base import query, rounded
 from pgsloom.sources import bed, binary, consumer, scoring_files
-from pgsloom.sources.shared import new_folder
+from pgsloom.sources.shared import cut, new_folder
 from pgsloom.sources.store import ResultStore
 
 CODES = "(p_partkey * 7 + s * 3 + p_size) % 4"
@@ -125,7 +125,8 @@ def store_merge(t: Inputs) -> DataFrame:
     """Three merges and a deletion: some people, all others, one with other scores; one person goes."""
     from pgsloom.queries import scoring
 
-    rows = scoring.results(t).select("individual_id", "trait_id", "pgs_id", *rounded("raw_score"), "matched_variants")
+    # scored once: three merges and the deletion read it
+    rows = cut(scoring.results(t).select("individual_id", "trait_id", "pgs_id", *rounded("raw_score"), "matched_variants"))
     store = ResultStore(t.spark, new_folder(t.spark, "store"), ["individual_id", "trait_id", "pgs_id"], "trait_id", "changed_at")
     store.merge(rows.filter("individual_id in ('IND1', 'IND2')"))
     store.merge(rows.filter("individual_id not in ('IND1', 'IND2')"))
