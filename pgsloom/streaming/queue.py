@@ -66,11 +66,12 @@ def jobs(events: DataFrame, late: str = "1 hour", idle_s: int = 7 * 86_400) -> D
         waiting, entry = held["waiting"], held["entry"]
         if not state.hasTimedOut:
             for part in parts:
-                for event in part[["id", "kind", "priority", "ts"]].to_dict("records"):
-                    if event["ts"] <= mark:
-                        out.append(("late", event["priority"], None, event["ts"]))
+                # plain lists: a frame's own records cost more than all the rest for the few events that a job has
+                for id_, kind, priority, ts in zip(*[part[c].tolist() for c in ("id", "kind", "priority", "ts")]):
+                    if ts <= mark:
+                        out.append(("late", priority, None, ts))
                     else:
-                        waiting[f"{event['id']}/{event['ts']}"] = event
+                        waiting[f"{id_}/{ts}"] = {"id": id_, "kind": kind, "priority": priority, "ts": ts}
         for key, event in sorted(waiting.items(), key=lambda x: (x[1]["ts"], x[1]["kind"], str(x[1]["id"]))):
             if event["ts"] > mark:
                 break
@@ -87,8 +88,8 @@ def jobs(events: DataFrame, late: str = "1 hour", idle_s: int = 7 * 86_400) -> D
         elif state.exists:
             state.remove()
         if out:
-            whole = pd.DataFrame(out, columns=["outcome", "priority", "added", "ended"]).astype({"added": "Int64"})
-            yield whole.assign(individual_id=of[0], trait_id=of[1])[["individual_id", "trait_id", "outcome", "priority", "added", "ended"]]
+            outcome, priority, added, ended = zip(*out)
+            yield pd.DataFrame({"individual_id": [of[0]] * len(out), "trait_id": [of[1]] * len(out), "outcome": outcome, "priority": priority, "added": pd.array(added, "Int64"), "ended": ended})
 
     out = rows.groupBy("individual_id", "trait_id").applyInPandasWithState(step, OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("individual_id", "trait_id", "outcome", "priority", *[F.timestamp_millis(c).cast("timestamp_ntz").alias(c) for c in ("added", "ended")])
