@@ -4,7 +4,10 @@ The 64 bits are cut into three segments. Of up to four differing bits one segmen
 is indexed under 64 keys: a segment with one of its bits left out. Two fingerprints that agree on a segment but for one
 bit share the key without that bit. Keys are joined by equality, and the join itself verifies the distance and lets a
 pair through under one key only (the first that the two can share). Many fingerprints make keys of one segment too
-common; then a key also holds one of five pieces of the other bits, of which one must agree. Neither way loses a link.
+common: they are shared by chance, the more often the larger the table. Then a key holds some other bits too. Either a
+segment has no difference, and then one of five pieces of the other bits has none; or each has one at least, and then two
+have just one, so the one agrees but for a bit and the other one in one of its halves. That makes 15 and 128 keys of some
+30 bits. Neither way loses a link.
 
 Defined cases: a null text counts as empty and has fingerprint zero; documents with equal fingerprints are one node, so
 exact copies never make pairs; a null doc_id is skipped as a component's name unless it is all there is; an empty table
@@ -66,21 +69,29 @@ def _bits(low: int, high: int) -> int:
 
 
 def _by_segment(form: str) -> Column:
-    """A CASE over the segment that the column ``bit`` lies in; the form may use {mask}, {low}, {high}, {left}, {outside}."""
-    cases = [f"when bit < {high} then " + form.format(mask=f"{_bits(low, high)}L", low=low, high=high, left=64 - high, outside=f"{(1 << 64 - high + low) - 1}L") for low, high in SEGMENTS]
+    """A CASE over the segment that the column ``bit`` lies in; the form may use {mask} and {low}."""
+    cases = [f"when bit < {high} then " + form.format(mask=f"{_bits(low, high)}L", low=low) for low, high in SEGMENTS]
     return F.expr(f"case {' '.join(cases)} end")
 
 
+def masks() -> list[int]:
+    """The bits of a fingerprint that its 143 longer keys hold, as signed integers."""
+    out = []
+    for i, (low, high) in enumerate(SEGMENTS):
+        others = [b for b in range(64) if not low <= b < high]
+        out += [_bits(low, high) | sum(_bits(b, b + 1) for b in others[at : at + 9]) for at in range(0, 45, 9)]
+        start, stop = SEGMENTS[(i + 1) % 3]
+        middle = (start + stop) // 2
+        out += [_bits(low, high) & ~_bits(b, b + 1) | half for b in range(low, high) for half in (_bits(start, middle), _bits(middle, stop))]
+    return out
+
+
 def keys(fps: DataFrame, pieces: bool, keep: str = "fp") -> DataFrame:
-    """(key, ``keep``): 64 keys a fingerprint, and each with one of five pieces of the other bits if ``pieces``."""
+    """(key, ``keep``): 64 keys of a segment a fingerprint, or its 143 longer ones if ``pieces``; those are hashes, so what shares one is to be compared."""
+    if pieces:
+        return fps.select(F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(mask))) for i, mask in enumerate(masks())])).alias("key"), keep)
     out = fps.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    out = out.withColumn("key", F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(_by_segment("shiftrightunsigned(fp & {mask} & ~shiftleft(1L, bit), {low})")))
-    if not pieces:
-        return out.select("key", keep)
-    # the 42 or 43 bits outside the segment, turned to the bottom: of five pieces of nine bits one has no difference
-    turned = _by_segment("(if({high} < 64, shiftrightunsigned(fp, {high}), 0L) | if({left} > 0, shiftleft(fp, {left}), fp)) & {outside}")
-    out = out.withColumn("turned", turned).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return out.select("key", "piece", F.expr("shiftrightunsigned(turned, 9 * piece) & 511L").alias("value"), keep)
+    return out.select(F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(_by_segment("shiftrightunsigned(fp & {mask} & ~shiftleft(1L, bit), {low})")).alias("key"), keep)
 
 
 def links(fps: DataFrame, distance: int = 4, common: int = 8_000_000) -> DataFrame:
@@ -89,10 +100,11 @@ def links(fps: DataFrame, distance: int = 4, common: int = 8_000_000) -> DataFra
         raise ValueError("three segments tolerate up to four differing bits")
     deep = fps.count() > common
     index = keys(fps, deep)
-    on = [c for c in index.columns if c != "fp"]
     x = F.col("a").bitwiseXOR(F.col("b"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= distance) & (first_key(x) == F.shiftrightunsigned("key", 32))
-    found = index.withColumnRenamed("fp", "a").join(index.withColumnRenamed("fp", "b"), on).filter(near).select("a", "b")
+    near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= distance)
+    if not deep:
+        near = near & (first_key(x) == F.shiftrightunsigned("key", 32))
+    found = index.withColumnRenamed("fp", "a").join(index.withColumnRenamed("fp", "b"), "key").filter(near).select("a", "b")
     return found.distinct() if deep else found
 
 
@@ -107,29 +119,30 @@ def first_key(x: Column) -> Column:
     return out.cast("long")
 
 
-def component_links(fps: DataFrame, distance: int = 4, common: int = 8_000_000) -> DataFrame:
+def component_links(fps: DataFrame, distance: int = 4, common: int = 0) -> DataFrame:
     """(a, b): links within ``distance`` that give the same components as all of them, but not all pairs of a dense group.
 
-    Each fingerprint is compared with a few others of each of its keys first (the least under each of ``SALTS``). The links found
+    Longer keys are used for more than ``common`` fingerprints: of random ones hardly any two share one of these, so the keys
+    are shuffled once and what several fingerprints have is in proportion to the links. Each fingerprint of such a
+    key is compared with a few others of it first (the least under each of ``SALTS``). The links found
     make groups, and a key all of whose fingerprints are in one group is done. In the other keys fingerprints of
     different groups are compared, and one link is kept for each fingerprint and group that it meets. What comes out is in proportion to the
     fingerprints and their keys, however dense they lie.
     """
     fps = fps.distinct()
-    deep = fps.count() > common
-    index = cut(keys(fps, deep))
-    on = [c for c in index.columns if c != "fp"]
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
-    least = index.groupBy(*on).agg(F.count("*").alias("n"), *[F.min(F.expr(f"fp ^ {salt}L")).alias(f"r{i}") for i, salt in enumerate(SALTS)]).filter("n > 1")
-    some = least.select(*on, F.array_distinct(F.array(*[F.expr(f"r{i} ^ {salt}L") for i, salt in enumerate(SALTS)])).alias("some"))
-    stars = index.join(some, on).select(F.col("fp").alias("a"), F.explode("some").alias("b")).filter((F.col("a") != F.col("b")) & near("a", "b"))
+    here = F.count("*").over(Window.partitionBy("key"))
+    index = cut(keys(fps, fps.count() > common).withColumn("n", here).filter("n > 1").select("key", "fp"))
+    least = index.groupBy("key").agg(*[F.min(F.expr(f"fp ^ {salt}L")).alias(f"r{i}") for i, salt in enumerate(SALTS)])
+    some = least.select("key", F.array_distinct(F.array(*[F.expr(f"r{i} ^ {salt}L") for i, salt in enumerate(SALTS)])).alias("some"))
+    stars = index.join(some, "key").select(F.col("fp").alias("a"), F.explode("some").alias("b")).filter((F.col("a") != F.col("b")) & near("a", "b"))
     stars = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     groups = components(stars)
-    grouped = index.join(groups, index["fp"] == groups["node"], "left").select(*on, "fp", F.coalesce("root", "fp").alias("group"))
-    mixed = grouped.groupBy(*on).agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select(*on)
-    open_keys = cut(grouped.join(mixed, on, "left_semi"))
+    grouped = index.join(groups, index["fp"] == groups["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("group"))
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("key")
+    open_keys = cut(grouped.join(mixed, "key", "left_semi"))
     left, right = (open_keys.withColumnsRenamed({"fp": c, "group": f"g{c}"}) for c in "ab")
-    met = left.join(right, on).filter((F.col("ga") < F.col("gb")) & near("a", "b"))
+    met = left.join(right, "key").filter((F.col("ga") < F.col("gb")) & near("a", "b"))
     return stars.unionByName(met.groupBy("a", "gb").agg(F.min("b").alias("b")).select("a", "b"))
 
 

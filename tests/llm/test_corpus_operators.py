@@ -270,6 +270,15 @@ def test_links_of_a_crowd(spark, common):
     assert pairs > 50_000 and len(links) < (60 if common == 1 else 25) * len(signed)  # five times the keys where they are deep
 
 
+def test_keys_shared_by_chance(spark, monkeypatch):
+    """Of random fingerprints hardly any row of a key is kept or compared, so the work does not grow with their square."""
+    rnd, rows, cut = random.Random(11), [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: (kept := cut(df), rows.append(kept.count()))[0])
+    values = {rnd.getrandbits(64) - (1 << 63) for _ in range(5_000)}
+    assert simhash.component_links(spark.createDataFrame([(v,) for v in values], "fp bigint")).count() == 0
+    assert sum(rows) < 500
+
+
 def test_simhash_components(spark, small):
     rows = [(r["doc_id"], r["text"], r["source"]) for r in small.collect()] + [(10_000, None, "s"), (10_001, "", "s")]
     got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(frame(spark, rows)).collect()}
