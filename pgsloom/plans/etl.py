@@ -90,3 +90,11 @@ def etl(groups: list[DataFrame]) -> DataFrame:
         part = standardize(harmonize(rows))
         out = part if out is None else out.unionByName(part)
     return out.distinct()
+
+
+def deduplicated(rows: DataFrame, by: list[str], count: int, per_task: int = 500_000) -> DataFrame:
+    """Distinct rows, a task for each ``per_task`` of the ``count`` that there may be: what a task holds does not grow with the table.
+
+    Rows hardly repeat, so they are shuffled by ``by`` as they are instead of being gathered in the tasks before the shuffle too.
+    """
+    return rows.repartition(count // per_task + 1, *by).distinct()

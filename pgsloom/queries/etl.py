@@ -78,7 +78,8 @@ def standardize_legacy(t: Inputs) -> DataFrame:
 
 @query("dedupe", "select distinct pgs_id, chr, effect_allele, round(effect_weight, 6) as effect_weight from fx_pack")
 def dedupe(t: Inputs) -> DataFrame:
-    return t.view("pack").select("pgs_id", "chr", "effect_allele", *rounded("effect_weight")).distinct()
+    rows = t.view("pack").select("pgs_id", "chr", "effect_allele", *rounded("effect_weight"))
+    return etl.deduplicated(rows, ["pgs_id", "chr", "effect_allele"], t.table("lineitem").count())  # as many rows at most
 
 
 REFERENCE = "select chr, pos, split_part(variant_id, ':', 3) as ref, split_part(variant_id, ':', 4) as alt from fx_af"

@@ -3,6 +3,7 @@
 import pytest
 
 from pgsloom.operators import match
+from pgsloom.plans import etl
 from pgsloom.queries import QUERIES
 
 
@@ -18,3 +19,9 @@ def test_null_keys_match_nothing(spark):
     for orient in (False, True):
         got = match.variant_match(match.keyed(pack, -1), match.keyed(dna, -2), orient).collect()
         assert [(r["pos"], r["contribution"]) for r in got] == [(6, 1.0)]
+
+
+def test_distinct_rows_by_tasks_of_bounded_size(spark):
+    rows = spark.range(6_000).selectExpr("id % 2000 as a", "cast(id % 4 as double) as b")
+    got = etl.deduplicated(rows, ["a"], 6_000, per_task=500)
+    assert got.rdd.getNumPartitions() == 13 and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.distinct().collect()))
