@@ -111,7 +111,8 @@ def running(df: DataFrame, group: list[str], at: str, amount: str, out: str, wid
 def components(edges: DataFrame, per_task: int = 250_000) -> DataFrame:
     """(node, root) for each node of the links (a, b): root is the smallest node that it can reach.
 
-    Large-star and small-star steps alternate until the links stay as they are; each node then hangs from its root.
+    Large-star and small-star steps alternate until each node hangs from its root: a link goes from a greater to a smaller
+    node, so where no node has two links up and none is both above and below, the one above is the least of all.
     Every step is a minimum by node (combined before the shuffle) and a join, and its links are written to the
     checkpoint folder, so no component is ever gathered in one place. A step takes one task for each ``per_task`` links
     that it starts from, so that few links are not spread over as many small files as the session has partitions.
@@ -127,16 +128,16 @@ def components(edges: DataFrame, per_task: int = 250_000) -> DataFrame:
             moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.filter("u <> v").coalesce(tasks).distinct().coalesce(tasks)
 
-    def mark(links: DataFrame) -> tuple:
-        return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def state(links: DataFrame) -> tuple:
+        """Number of links, and of nodes that hang from several others or from one that hangs itself: without these all is done."""
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+        nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+        return tuple(nodes.agg(F.coalesce(F.sum("ups"), F.lit(0)), F.count_if((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("low") == 0)))).first())
 
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    seen = mark(links)
-    while seen[0]:
-        tasks = seen[0] // per_task + 1
+    count, left = state(links)
+    while left:
+        tasks = count // per_task + 1
         links = cut(star(star(links.coalesce(tasks), False, tasks), True, tasks))
-        now = mark(links)
-        if now == seen:
-            break
-        seen = now
+        count, left = state(links)
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

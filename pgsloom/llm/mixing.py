@@ -61,8 +61,9 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """A row for each document with the words that the mix takes of it, repeats counted."""
-        times = self.slots.groupBy("s", "block").agg(F.count("*").alias("times"))
-        got = self.pieces.join(times, ["s", "block"]).groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        # cut: the driver renders a plan anew after each of its stages, so one long plan takes the square of its length
+        times = cut(self.slots.groupBy("s", "block").agg(F.count("*").alias("times")))
+        got = cut(self.pieces.join(times, ["s", "block"]).groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
         docs = self.sizes.join(F.broadcast(self.targets) if few(self.targets) else self.targets, self.sizes["source"].eqNullSafe(self.targets["source"])).drop(self.targets["source"])
         return docs.join(got, "rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -113,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("at"), F.col("block") * block_words)
     pieces = pieces.select("rid", "s", "block", words.alias("words"))
 
-    slots = draws(by, shard_blocks, seed).join(by.select("s", "blocks"), "s")
+    slots = cut(draws(by, shard_blocks, seed)).join(by.select("s", "blocks"), "s")
     slots = slots.select("shard", "s", "j", F.expr("j div blocks").alias("epoch"), F.expr("j % blocks").alias("i"))
     needed = by.filter("quota > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(quota - 1) div blocks"))))
     # no single row makes more than 10,000 others: a source's blocks are made in two steps

@@ -295,9 +295,9 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, lo
     pairs = described_pairs(whole.join(some, "key").select(F.col("node").alias("a"), F.explode("some").alias("b")))
     near = similar(docs, pairs, width, similarity)
 
-    def mixed(index: DataFrame, near: DataFrame) -> DataFrame:
+    def mixed(index: DataFrame, groups: DataFrame) -> DataFrame:
         """(key, node, group, at, largest) of keys that several groups have; ``largest`` is the one with most rows."""
-        groups, by_key = cut(components(near)), Window.partitionBy("key")
+        by_key = Window.partitionBy("key")
         index = index.join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group"), "at")
         index = index.withColumn("low", F.min("group").over(by_key)).withColumn("high", F.max("group").over(by_key)).filter("low <> high")
         index = cut(index.select("key", "node", "group", "at"))
@@ -305,12 +305,15 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, lo
         return index.join(counts.groupBy("key").agg(F.max(F.struct("n", "group"))["group"].alias("largest")), "key")
 
     # what is not in a key's largest group is compared with one of that group, another one for each key
-    index = mixed(found.select("node", F.posexplode("first").alias("at", "key")), near)
+    groups = cut(components(near))
+    index = mixed(found.select("node", F.posexplode("first").alias("at", "key")), groups)
     one = index.filter("group = largest").groupBy("key").agg(F.min(F.expr("node ^ key")).alias("m")).select("key", F.expr("m ^ key").alias("b"))
     again = described_pairs(index.filter("group <> largest").select("key", F.col("node").alias("a")).join(one, "key").select("a", "b"))
-    near = cut(near.unionByName(similar(docs, again.join(pairs, ["a", "b"], "left_anti"), width, similarity)))
+    # a node hangs from its root, which joins what all links so far join: those need not be gone through again
+    star = lambda groups: groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    groups = cut(components(star(groups).unionByName(similar(docs, again.join(pairs, ["a", "b"], "left_anti"), width, similarity))))
     pairs = pairs.unionByName(again)
-    index = mixed(index.select("key", "node", "at"), near)
+    index = mixed(index.select("key", "node", "at"), groups)
     # a pair with several keys in common comes at the first: not where an earlier key of both is among the four before
     before = F.collect_list("key").over(Window.partitionBy("node").orderBy("at").rowsBetween(-4, -1))
     index = index.withColumn("before", before).join(sketch, "node")
@@ -322,7 +325,7 @@ def near_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, lo
     apart = (F.col("p.group") != F.col("q.group")) & once & rest & possible("p", "q") & ~F.arrays_overlap("p.before", "q.before")
     more = index.withColumnRenamed("one", "p").join(index.filter("one.group <> largest").select("key", F.col("one").alias("q")), "key").filter(apart)
     more = more.select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")  # compared before
-    roots = components(near.unionByName(similar(docs, cut(more), width, similarity)))
+    roots = cut(components(star(groups).unionByName(similar(docs, cut(more), width, similarity))))
     named = found.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("node").alias("best"))).alias("m"))
     return named.join(best, "root").select("node", "doc_id", (F.col("node") == F.col("m.best")).alias("stays"))

@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from pgsloom.llm import decontam, simhash
+from pgsloom.llm import common, decontam, mixing, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -36,3 +36,24 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in clean} == kept - hit
     assert {r["doc_id"] for r in mixed} == {r["doc_id"] for r in clean}
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_links_that_are_done_take_no_round(spark, monkeypatch):
+    """What the driver has to plan is in proportion to the rounds that links need."""
+    written, write = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: written.append(1) or write(df))
+    stars = spark.createDataFrame([(1, 2), (3, 1), (1, 1), (7, 8), (5, 5)], "a bigint, b bigint")
+    got = {r["node"]: r["root"] for r in common.components(stars).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7} and len(written) == 1
+    # a node with two roots, and a chain: neither is done
+    for links, root in (([(1, 3), (2, 3)], 1), ([(5, 4), (4, 3)], 3)):
+        nodes = {n for link in links for n in link}
+        assert {r["node"]: r["root"] for r in common.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()} == dict.fromkeys(nodes, root)
+    assert common.components(stars.limit(0)).count() == 0
+
+
+def test_mixing_has_no_plan_of_many_shuffles(spark):
+    """The driver renders the whole plan again for each of its stages."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = mixing.mix(docs).taken()._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange |BroadcastExchange ", plan)) <= 4
