@@ -104,7 +104,8 @@ def links(fps: DataFrame, distance: int = 4, common: int = 8_000_000) -> DataFra
     near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= distance)
     if not deep:
         near = near & (first_key(x) == F.shiftrightunsigned("key", 32))
-    found = index.withColumnRenamed("fp", "a").join(index.withColumnRenamed("fp", "b"), "key").filter(near).select("a", "b")
+    # merge: Spark takes an explode for as many rows as it starts from, and would broadcast 64 keys of each of some 200,000 fingerprints
+    found = index.withColumnRenamed("fp", "a").hint("merge").join(index.withColumnRenamed("fp", "b"), "key").filter(near).select("a", "b")
     return found.distinct() if deep else found
 
 
@@ -135,7 +136,8 @@ def component_links(fps: DataFrame, distance: int = 4, common: int = 0) -> DataF
     index = cut(keys(fps, fps.count() > common).withColumn("n", here).filter("n > 1").select("key", "fp"))
     least = index.groupBy("key").agg(*[F.min(F.expr(f"fp ^ {salt}L")).alias(f"r{i}") for i, salt in enumerate(SALTS)])
     some = least.select("key", F.array_distinct(F.array(*[F.expr(f"r{i} ^ {salt}L") for i, salt in enumerate(SALTS)])).alias("some"))
-    stars = index.join(some, "key").select(F.col("fp").alias("a"), F.explode("some").alias("b")).filter((F.col("a") != F.col("b")) & near("a", "b"))
+    # merge: the size that Spark knows of ``index`` and what comes from it is that before the keys were made
+    stars = index.join(some.hint("merge"), "key").select(F.col("fp").alias("a"), F.explode("some").alias("b")).filter((F.col("a") != F.col("b")) & near("a", "b"))
     stars = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     groups = components(stars)
     grouped = index.join(groups, index["fp"] == groups["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("group"))

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pgsloom.llm import common, decontam, mixing, simhash
 
@@ -52,6 +54,19 @@ def test_links_that_are_done_take_no_round(spark, monkeypatch):
     assert common.components(stars.limit(0)).count() == 0
 
 
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the keys of fingerprints for as many rows as there are fingerprints, so it must not choose by their size."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    fps = spark.range(400).select(F.xxhash64(F.col("id") % 300).alias("fp"))
+    assert "SortMergeJoin" in plan(simhash.links(fps.distinct())) and "Broadcast" not in plan(simhash.links(fps.distinct()))
+    links, write = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: links.append(plan(df)) or write(df))
+    near = spark.range(400).selectExpr("cast(id % 8 as bigint) as fp")
+    assert simhash.component_links(near).count() >= 7
+    stars = [p for p in links if "Generate explode(some" in p]
+    assert len(stars) == 1 and "SortMergeJoin" in stars[0] and "Broadcast" not in stars[0]
+
+
 def test_mixing_has_no_plan_of_many_shuffles(spark):
     """The driver renders the whole plan again for each of its stages."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
