@@ -100,4 +100,5 @@ def queue_stream(t: Inputs) -> DataFrame:
         once = rows.select("click_id", "client_id", "kind", "ts").distinct()
         return once.select(F.col("click_id").cast("string").alias("event_id"), F.col("client_id").alias("individual_id"), F.col("kind").alias("trait_id"), F.expr(JOB).alias("kind"), (F.col("click_id") % 4).alias("priority"), "ts")
 
-    return delivered(t, scratch(t), lambda s: queue.jobs(s, idle_s=1_000 * 86_400), as_events)
+    buckets = max(64, t.table("clicks").count() // 20_000)  # what a call of Python holds does not grow with the table
+    return delivered(t, scratch(t), lambda s: queue.jobs(s, idle_s=1_000 * 86_400, buckets=buckets), as_events)

@@ -53,43 +53,59 @@ def applied(entry: dict | None, event: dict, idle_ms: int) -> tuple[dict | None,
     return entry, ended
 
 
-def jobs(events: DataFrame, late: str = "1 hour", idle_s: int = 7 * 86_400) -> DataFrame:
-    """(individual_id, trait_id, outcome, priority, added, ended) of entries that ended and of late events, in append mode."""
+def jobs(events: DataFrame, late: str = "1 hour", idle_s: int = 7 * 86_400, buckets: int | None = None) -> DataFrame:
+    """(individual_id, trait_id, outcome, priority, added, ended) of entries that ended and of late events, in append mode.
+
+    State is a row a job, which suits a stream that touches few of many jobs at a time. With ``buckets`` it is a row for each of
+    so many groups of jobs: a call of Python, which costs more than the few events that a job has, then serves a whole
+    group, and a group that is touched is written whole. The number has to stay the same for the life of a checkpoint.
+    """
     known = F.array_position(F.lit(list(KINDS)), F.col("kind")).cast("int") - 1
     rows = undropped(events.filter("ts is not null and individual_id is not null and trait_id is not null").withColumn("known", known).filter("known >= 0"), late)
     rows = rows.select("later", F.col("individual_id").cast("string"), F.col("trait_id").cast("string"), F.col("event_id").cast("string").alias("id"), F.col("known").alias("kind"), F.coalesce("priority", F.lit(0)).cast("int").alias("priority"), F.unix_millis("ts").alias("ts"))
     idle_ms = idle_s * 1000
 
-    def step(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mark, out = state.getCurrentWatermarkMs(), []
-        held = json.loads(state.get[0]) if state.exists else {"entry": None, "waiting": {}}
-        waiting, entry = held["waiting"], held["entry"]
+        held = json.loads(state.get[0]) if state.exists else {"entries": [], "waiting": []}
+        entries = {(person, trait): entry for person, trait, entry in held["entries"]}
+        waiting = {(person, trait, id_, ts): (ts, kind, id_, priority, person, trait) for ts, kind, id_, priority, person, trait in held["waiting"]}
         if not state.hasTimedOut:
             for part in parts:
                 # plain lists: a frame's own records cost more than all the rest for the few events that a job has
-                for id_, kind, priority, ts in zip(*[part[c].tolist() for c in ("id", "kind", "priority", "ts")]):
+                for person, trait, id_, kind, priority, ts in zip(*[part[c].tolist() for c in ("individual_id", "trait_id", "id", "kind", "priority", "ts")]):
                     if ts <= mark:
-                        out.append(("late", priority, None, ts))
+                        out.append((person, trait, "late", priority, None, ts))
                     else:
-                        waiting[f"{id_}/{ts}"] = {"id": id_, "kind": kind, "priority": priority, "ts": ts}
-        for key, event in sorted(waiting.items(), key=lambda x: (x[1]["ts"], x[1]["kind"], str(x[1]["id"]))):
-            if event["ts"] > mark:
-                break
-            del waiting[key]
-            entry, ended = applied(entry, event, idle_ms)
-            out += ended
-        if entry and entry["last"] + idle_ms <= mark:
-            out.append(("expired", entry["priority"], entry["added"], entry["last"] + idle_ms))
-            entry = None
-        if entry or waiting:
-            state.update((json.dumps({"entry": entry, "waiting": waiting}),))
-            first = min([e["ts"] for e in waiting.values()] + ([entry["last"] + idle_ms] if entry else []))
+                        id_ = str(id_)
+                        waiting[person, trait, id_, ts] = (ts, kind, id_, priority, person, trait)
+        rest = []
+        for event in sorted(waiting.values()):
+            ts, kind, id_, priority, person, trait = event
+            if ts > mark:
+                rest.append(event)
+                continue
+            entry, ended = applied(entries.pop((person, trait), None), {"kind": kind, "priority": priority, "ts": ts}, idle_ms)
+            if entry:
+                entries[person, trait] = entry
+            out += [(person, trait, *e) for e in ended]
+        for (person, trait), entry in [*entries.items()]:
+            if entry["last"] + idle_ms <= mark:
+                out.append((person, trait, "expired", entry["priority"], entry["added"], entry["last"] + idle_ms))
+                del entries[person, trait]
+        if entries or rest:
+            state.update((json.dumps({"entries": [(*job, entry) for job, entry in entries.items()], "waiting": rest}),))
+            first = min([event[0] for event in rest[:1]] + [entry["last"] + idle_ms for entry in entries.values()])
             state.setTimeoutTimestamp(max(first, mark + 1))
         elif state.exists:
             state.remove()
         if out:
-            outcome, priority, added, ended = zip(*out)
-            yield pd.DataFrame({"individual_id": [of[0]] * len(out), "trait_id": [of[1]] * len(out), "outcome": outcome, "priority": priority, "added": pd.array(added, "Int64"), "ended": ended})
+            person, trait, outcome, priority, added, ended = zip(*out)
+            yield pd.DataFrame({"individual_id": person, "trait_id": trait, "outcome": outcome, "priority": priority, "added": pd.array(added, "Int64"), "ended": ended})
 
-    out = rows.groupBy("individual_id", "trait_id").applyInPandasWithState(step, OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    if buckets:
+        groups = rows.withColumn("bucket", F.pmod(F.xxhash64("individual_id", "trait_id"), F.lit(buckets))).groupBy("bucket")
+    else:
+        groups = rows.groupBy("individual_id", "trait_id")
+    out = groups.applyInPandasWithState(step, OUT, "held string", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("individual_id", "trait_id", "outcome", "priority", *[F.timestamp_millis(c).cast("timestamp_ntz").alias(c) for c in ("added", "ended")])

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from pgsloom.queries import QUERIES, streams
 from pgsloom.streaming import events, queue
 
 START = dt.datetime(2024, 1, 1)
@@ -127,3 +128,21 @@ def test_queue_does_not_depend_on_the_order(spark, tmp_path):
     got = deliver(spark, str(tmp_path / "o"), [one, two, three], EVENT, lambda s: queue.jobs(s, "1 hour"))
     assert got == [("p", "T", "done", 2, at(10), at(100)), ("p", "U", "done", 3, at(50), at(70))]
     assert queue.jobs(events.read_stream(spark, f"{tmp_path}/o/in")).isStreaming
+
+
+def test_queue_by_buckets_does_the_same(spark, tmp_path):
+    """Jobs that share a row of state do not touch each other; ended ones leave nothing in it."""
+    rnd = random.Random(3)
+    every = [(f"e{i}", rnd.choice("pqrs"), rnd.choice("TU"), rnd.choice([*queue.KINDS, "add", "add"]), rnd.choice([0, 1, 2, None]), at(rnd.randrange(0, 40) * 600)) for i in range(200)]
+    parts = [every[:100] + every[10:20], every[100:160], every[160:], [("end", "z", "Z", "add", 1, at(60 * 600))], [("end2", "z", "Z", "done", 1, at(200 * 600))]]
+    got = deliver(spark, str(tmp_path / "b"), parts, EVENT, lambda s: queue.jobs(s, "2 hours", idle_s=HOUR, buckets=3))
+    want, open_jobs = brute_queue(parts, 2 * HOUR, HOUR)
+    assert got == want and {"late", "expired", "done", "failed", "removed"} <= {r[2] for r in got}
+    assert open_jobs == 0 and state_rows(spark, tmp_path / "b") == 1  # the one event that no watermark has passed
+
+
+def test_queue_stream_does_not_call_python_once_a_job(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "scratch", lambda t: str(tmp_path / "s"))
+    rows = QUERIES["queue_stream"](spark, "/root/testdata/sf0.01")
+    assert rows.select("individual_id", "trait_id").distinct().count() > 500
+    assert 0 < state_rows(spark, tmp_path / "s") <= 64
